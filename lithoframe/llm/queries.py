@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import embedding_dedup, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, quality
+from lithoframe.llm import embedding_dedup, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, ppm, quality
 from lithoframe.llm.common import documents, fold
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), fold("doc_id", 5) == 1)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ppm_score": op1_ppm_score,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_html_extract": op3_html_extract,
         "op5_language_id": op5_language_id,
