@@ -1,7 +1,8 @@
-"""Language-model scores by prediction by partial matching over bytes (method C, with exclusion).
+"""Language-model scores by prediction by partial matching over bytes, with symbol exclusion.
 
 The context trie is a family of tables: for each order k, the counts of (k context bytes, next symbol)
-in the training texts, packed in one long. Code lengths of the distinct n-grams of the corpus come
+in the training texts, packed in one long. At the longest order they are counts of occurrences, below
+it of the distinct longer contexts (update exclusion); escapes are estimated by discounting (method D). Code lengths of the distinct n-grams of the corpus come
 from joins between neighbouring orders, so neither the trie nor the vocabulary has to fit in one place.
 
 Texts are cut into chunks of a few MB. Each chunk has a dictionary of its distinct words and n-grams;
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from lithoframe.llm.common import staged
 from lithoframe.llm.groups import bounds, runs
 
-#: Longest context in bytes, bits of a symbol, symbol that ends a text, symbols that can be coded.
-ORDER, BITS, END, ALPHABET = 4, 9, 257, 257
+#: Longest context in bytes (6 at most), bits of a symbol, symbol that ends a text, symbols that can be coded.
+ORDER, BITS, END, ALPHABET = 5, 9, 257, 257
+#: Taken from every count for the escape.
+DISCOUNT = 0.5
 #: Bytes of text of a chunk, about; one longer text is a chunk of its own.
-CHUNK = 6 << 20
+CHUNK = 10 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,19 +89,22 @@ def gram_codes(raw: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndar
     n = np.diff(starts)
     size = n + order + 1
     begin = np.concatenate([[0], np.cumsum(size)])
-    s = np.zeros(begin[-1], dtype=np.int64)
+    s = np.zeros(begin[-1], dtype=np.int16)
     own = np.ones(len(s), dtype=bool)
     for k in range(order):
         own[begin[:-1] + k] = False
     ends = begin[1:] - 1
     own[ends] = False
-    s[own] = raw.astype(np.int64) + 1
+    s[own] = raw.astype(np.int16) + 1
     s[ends] = END
     own[ends] = True
-    key = s.copy()
+    key = s.astype(np.int64)
     for k in range(1, order + 1):
-        key[k:] |= s[:-k] << (BITS * k)
-    code, distinct = pd.factorize(key[own])
+        for a in range(k, len(key), 1 << 20):  # in pieces, for memory
+            to = min(len(key), a + (1 << 20))
+            key[a:to] |= s[a - k : to - k].astype(np.int64) << (BITS * k)
+    key = key[own]
+    code, distinct = pd.factorize(key)
     return distinct, code, np.concatenate([[0], np.cumsum(n + 1)])
 
 
@@ -137,9 +143,10 @@ def _mask(k: int) -> int:
 def code_lengths(grams: DataFrame, order: int) -> DataFrame:
     """(entry, n) of all n-grams, n the training count (0: only to be scored) -> (entry, logp), log10.
 
-    For order k let ctx be the last k symbols: n(ctx) symbols were seen after it, q(ctx) of them
-    distinct. A seen symbol has c / (n + q), the escape q / (n + q). After an escape, the symbols seen in
-    the longer context are excluded below: their counts and their number are taken out of n and q.
+    For order k let ctx be the last k symbols: n(ctx) is the sum of the counts after it, q(ctx) the
+    number of distinct symbols. With d = DISCOUNT, a seen symbol has (c - d) / n, the escape d q / n. After
+    an escape, the symbols seen in the longer context are excluded below: their counts and their number
+    are taken out of n and q. If none is left below, the escape goes on for nothing.
     Below order 0, the symbols never seen share the rest evenly. Contexts never seen are skipped
     without an escape.
 
@@ -148,7 +155,7 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
     """
     counts: dict[int, DataFrame] = {order: grams.filter("n > 0").select(F.col("entry").alias("key"), F.col("n").alias("c"))}
     for k in range(order - 1, -1, -1):
-        counts[k] = staged(counts[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.sum("c").alias("c")), f"ppm-counts-{k}")
+        counts[k] = staged(counts[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"ppm-counts-{k}")
     ctx = F.shiftright("key", BITS)
     wanted: dict[int, DataFrame] = {order: grams.select(F.col("entry").alias("key"))}
     for k in range(order - 1, -1, -1):
@@ -156,14 +163,15 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
     nodes = {k: counts[k].groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("q")) for k in counts}
     below = None
     for k in range(order + 1):
-        node = nodes[k].select("ctx", F.log10("q").alias("log_q"), F.log10(F.col("n") + F.col("q")).alias("log_all"), "q")
+        node = nodes[k].select("ctx", F.log10(DISCOUNT * F.col("q")).alias("log_q"), F.log10(F.col("n").cast("double")).alias("log_all"), "q")
         if k:
             # What is left of the next shorter context when the symbols seen in this one are excluded.
             shorter, up = counts[k - 1].select(F.col("key").alias("up"), F.col("c").alias("cc")), nodes[k - 1].select(F.col("ctx").alias("sctx"), F.col("n").alias("sn"), F.col("q").alias("sq"))
             gone = counts[k].select(ctx.alias("ctx"), F.col("key").bitwiseAND(F.lit(_mask(k - 1))).alias("up")).join(shorter, "up").groupBy("ctx").agg(F.sum("cc").alias("gone"))
             left = node.join(gone, "ctx").withColumn("sctx", F.col("ctx").bitwiseAND(F.lit(_mask(k - 2) if k > 1 else 0))).join(up, "sctx")
             free, more = F.col("sn") - F.col("gone"), F.col("sq") - F.col("q")
-            node = left.select("ctx", "log_q", "log_all", F.when(more > 0, F.log10((free + more).cast("double"))).otherwise(0.0).alias("left_all"), F.when(more > 0, F.log10(more.cast("double")) - F.log10((free + more).cast("double"))).otherwise(0.0).alias("left_escape"))
+            some, all_left = more > 0, F.log10(free.cast("double"))
+            node = left.select("ctx", "log_q", "log_all", F.when(some, all_left).otherwise(0.0).alias("left_all"), F.when(some, F.log10(DISCOUNT * more) - all_left).otherwise(0.0).alias("left_escape"))
         at = wanted[k].withColumn("ctx", ctx).join(node, "ctx", "left").join(counts[k], "key", "left")
         if k == 0:
             fresh = -F.log10(F.greatest(F.lit(ALPHABET) - F.coalesce("q", F.lit(0)), F.lit(1)).cast("double"))
@@ -171,8 +179,8 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
         else:
             short = below.select(F.col("key").alias("down"), F.col("c").alias("sc"), F.col("low").alias("slow"), F.col("logp").alias("shorter"))
             at = at.withColumn("down", F.col("key").bitwiseAND(F.lit(_mask(k - 1)))).join(short, "down")
-            at = at.withColumn("low", F.when(F.col("sc").isNotNull(), F.log10("sc") - F.col("left_all")).otherwise(F.col("left_escape") + F.col("slow")))
-        logp = F.when(F.col("c").isNotNull(), F.log10("c") - F.col("log_all")).when(F.col("log_all").isNotNull(), F.col("log_q") - F.col("log_all") + F.col("low")).otherwise(F.col("shorter"))
+            at = at.withColumn("low", F.when(F.col("sc").isNotNull(), F.log10(F.col("sc") - DISCOUNT) - F.col("left_all")).otherwise(F.col("left_escape") + F.col("slow")))
+        logp = F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) - F.col("log_all")).when(F.col("log_all").isNotNull(), F.col("log_q") - F.col("log_all") + F.col("low")).otherwise(F.col("shorter"))
         below = staged(at.select("key", "c", "low", logp.alias("logp")), f"ppm-order-{k}")
     return below.select(F.col("key").alias("entry"), "logp")
 
