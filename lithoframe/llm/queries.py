@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import embedding_dedup, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, ppm, quality
+from lithoframe.llm import embedding_dedup, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, ppm, quality, token_binary
 from lithoframe.llm.common import documents, fold
 
 
@@ -23,6 +23,12 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_binary.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.identify(docs, fold("doc_id", 5) != 0)
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ppm_score": op1_ppm_score,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_html_extract": op3_html_extract,
+        "op4_token_binary": op4_token_binary,
         "op5_language_id": op5_language_id,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_length_packing": op7_length_packing,
