@@ -120,7 +120,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
             k = batch.column("k").to_numpy()
             texts = batch.column("text").to_pylist()
             for language in np.unique(k):
-                mine = [t for t, x in zip(texts, k, strict=True) if x == language]
+                mine = [t.lower() for t, x in zip(texts, k, strict=True) if x == language]
                 total = sums.setdefault(int(language), np.zeros(CELLS, dtype=np.int64))
                 for _, _, found in cells(mine):
                     total += np.bincount(found.ravel(), minlength=CELLS)
@@ -128,7 +128,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
             cell = np.flatnonzero(total)
             yield pa.record_batch({"k": pa.array(np.full(len(cell), language, dtype=np.int32)), "cell": pa.array(cell.astype(np.int32)), "n": pa.array(total[cell])})
 
-    found = picked.select("k", F.lower("text").alias("text")).mapInArrow(count, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas()
+    found = picked.select("k", "text").mapInArrow(count, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.ones((CELLS, languages))  # at most CELLS x MAX_LANGUAGES
     np.add.at(n, (found["cell"].to_numpy(), found["k"].to_numpy()), found["n"].to_numpy(dtype=np.float64))
     prior = np.log(np.asarray([x for _, x in counts], dtype=np.float64) / sum(x for _, x in counts))
@@ -142,23 +142,42 @@ def identify(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "t
     trains, is `und` with score 0. Ties go to the language first in code-point order. Case is ignored.
     Repeated, extra or clashing columns don't matter; an empty table gives no rows.
     """
-    names, matrix, prior = train(docs, where, text, lang, rows)
-    held = docs.sparkSession.sparkContext.broadcast((names, matrix, prior))
+    label = labeller(docs, where, text, lang, rows)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, prior = held.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            label, value = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if names and texts:
-                total, seen = score(texts, matrix)
-                total += prior
-                best = total.argmax(axis=1)
-                value = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                value[seen == 0] = 0
-                label = [names[b] if n else UNDETERMINED for b, n in zip(best, seen, strict=True)]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(label, pa.string()), "score": pa.array(value)})
-
-    rows_in = docs.select(F.col(key).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+            names, value = label(batch.column("text").to_pylist())
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(value)})
+
+    rows_in = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows_in.schema["doc_id"].dataType.simpleString()
     return rows_in.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def labeller(docs: DataFrame, where: Column, text: str, lang: str, rows: int):
+    """Train on docs; the function that labels texts: (predicted languages, scores)."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, where, text, lang, rows))
+
+    def label(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        names, matrix, prior = held.value
+        if not names or not texts:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        total, seen = score([t.lower() if t else "" for t in texts], matrix)
+        total += prior
+        value = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        value[seen == 0] = 0
+        return [names[b] if n else UNDETERMINED for b, n in zip(total.argmax(axis=1), seen, strict=True)], value
+
+    return label
+
+
+def keep_identified(docs: DataFrame, where: Column, least: float = 0.5, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs without the rows whose language is undetermined or scored below `least`; nothing is shuffled."""
+    label = labeller(docs, where, text, lang, rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, value = label(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([x != UNDETERMINED for x in names]) if least <= 0 else pa.array(value >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
