@@ -3,8 +3,9 @@
 Texts become sets of hashed five-word shingles, equal sets collapse to one row, and each set gets a
 MinHash signature, read as TREES labels of a forest. Candidates share a prefix of some label; the
 matched prefix starts at the longest depth and is shortened until the expected recall at the threshold
-reaches the target. Candidates with a common prefix meet in tiles, where their whole shingle sets are
-intersected. Tasks give counts of links and edges of spanning trees, never lists of pairs.
+reaches the target. Candidates with a common prefix meet in tiles: first with their labels only, to
+leave out members without a new partner of about their size, then with their whole shingle sets, which
+are intersected. Tasks give counts of links and edges of spanning trees, never lists of pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from lithoframe.llm.groups import Forest, bounds, runs, spread, tiled
 #: Words of a shingle, similarity, trees, longest prefix, expected share of links at the threshold.
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 20, 8, 0.9999
 #: Members and shingles of a block at most, about; bytes of text that are shingled at once.
-BLOCK, BLOCK_SHINGLES, PIECE = 512, 1 << 20, 4 << 20
+BLOCK, BLOCK_SHINGLES, PIECE = 2048, 1 << 21, 4 << 20
 TILE = ["prefix", "tile_i", "tile_j"]
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -179,7 +180,18 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     dealt = mine.select("rep", "shingles", F.explode("labels").alias("prefix"))
     crowded = dealt.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight")).filter("n > 1")
     crowded = staged(crowded.select("prefix", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).alias("blocks")), "near-prefixes")
-    met = staged(dealt.join(crowded, "prefix").select("prefix", "rep", "blocks"), "near-members")
+    met = dealt.join(crowded, "prefix").join(mine.select("rep", "labels"), "rep")
+    tiles = tiled(met.select("prefix", "rep", "blocks", "shingles", "labels"), "rep", F.col("blocks"))
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, TILE):
+            at = bounds(table, TILE)
+            keep = [lo + _candidates(table.slice(int(lo), int(hi - lo)), trees, threshold) for lo, hi in zip(at[:-1], at[1:], strict=True) if hi - lo > 1]
+            if keep:
+                yield from table.select([*TILE, "side", "rep"]).take(pa.array(np.concatenate(keep))).combine_chunks().to_batches()
+
+    # Only members with a partner of about their size that no earlier tree has brought get their sets.
+    met = staged(spread(tiles.select(*TILE, "side", "rep", "shingles", "labels"), TILE, hopeful, "prefix long, tile_i int, tile_j int, side int, rep long"), "near-members")
     wanted = met.select("rep").distinct()
     whole = texts.join(wanted, texts.doc_id == wanted.rep, "left_semi")
     known = mine.join(met.select("rep").distinct(), "rep", "left_semi")
@@ -193,7 +205,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
 
     bodies = whole.mapInArrow(shingled, "rep long, set binary").dropDuplicates(["rep"])
     bodies = bodies.join(known.select("rep", "copies", "labels"), "rep")
-    members = tiled(met.join(bodies, "rep"), "rep", F.col("blocks"))
+    members = met.join(bodies, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, TILE):
@@ -214,6 +226,24 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     return found.union(rest).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _candidates(t: pa.Table, trees: int, threshold: float) -> np.ndarray:
+    """Rows of a tile with a partner in it that could be similar enough and that no earlier tree has."""
+    side, size = t.column("side").to_numpy(), t.column("shingles").to_numpy()
+    rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    labels = t.column("labels").combine_chunks().flatten().to_numpy().reshape(len(side), trees)
+    tree = int(np.flatnonzero((labels == t.column("prefix")[0].as_py()).all(axis=0))[0])
+    out = np.zeros(len(side), dtype=bool)
+    for a in range(0, len(rows), 512):
+        r = rows[a : a + 512]
+        x, y = size[r][:, None], size[cols][None, :]
+        pair = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (r[:, None] != cols[None, :])
+        for k in range(tree):
+            pair &= labels[r, k][:, None] != labels[cols, k][None, :]
+        out[r] |= pair.any(axis=1)
+        out[cols] |= pair.any(axis=0)
+    return np.flatnonzero(out)
+
+
 def _tile(t: pa.Table, trees: int, threshold: float) -> pa.RecordBatch | None:
     """Links inside one tile that no earlier tree has: of its row block with its column block, or itself."""
     rep, copies, side = (t.column(k).to_numpy() for k in ("rep", "copies", "side"))
