@@ -11,6 +11,8 @@ only dictionaries are counted, joined and sent back, and the chunk's texts are t
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import staged
@@ -29,6 +32,10 @@ ORDER, BITS, END, ALPHABET = 5, 9, 257, 257
 DISCOUNT = 0.5
 #: Bytes of text of a chunk, about; one longer text is a chunk of its own.
 CHUNK = 10 << 20
+#: Bytes of a chunk whose n-grams are numbered at once.
+PIECE = 1 << 40
+#: Rows that a task packs at once.
+PACK_ROWS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -108,8 +115,25 @@ def gram_codes(raw: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndar
     return distinct, code, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def _opened(row: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    body, starts, held = (row.column(c)[k] for c in ("body", "starts", "held"))
+def gram_pieces(raw: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts of a chunk at a time: (first text, text after the last, *gram_codes of them)."""
+    a = 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
+        yield a, b, *gram_codes(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], order)
+        a = b
+
+
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct values of all parts in order of appearance, and the number of each part's values."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64), []
+    code, distinct = pd.factorize(np.concatenate(parts))
+    return distinct, np.split(code, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def _opened(row: pa.RecordBatch | pa.Table, k: int, text: str = "body") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    body, starts, held = (row.column(c)[k] for c in (text, "starts", "held"))
     return np.frombuffer(body.as_buffer(), dtype=np.uint8), starts.values.to_numpy(), np.asarray(held.as_py(), dtype=bool)
 
 
@@ -123,11 +147,17 @@ def _dictionary(chunks: DataFrame, kind: str, order: int) -> DataFrame:
                 if kind == "word":
                     entries, code, at = word_codes(raw, starts)
                     entries = entries.cast(pa.string())
+                    n = np.bincount(code[np.repeat(~held, np.diff(at))], minlength=len(entries)).astype(np.int64)
                 else:
-                    distinct, code, at = gram_codes(raw, starts, order)
+                    parts, counts = [], []
+                    for a, b_, distinct, code, at in gram_pieces(raw, starts, order):
+                        parts.append(distinct)
+                        counts.append(np.bincount(code[np.repeat(~held[a:b_], np.diff(at))], minlength=len(distinct)))
+                    distinct, numbers = merged(parts)
+                    n = np.zeros(len(distinct), dtype=np.int64)
+                    for number, c in zip(numbers, counts, strict=True):
+                        n[number] += c
                     entries = pa.array(distinct)
-                train = np.repeat(~held, np.diff(at))
-                n = np.bincount(code[train], minlength=len(entries)).astype(np.int64)
                 chunk = pa.array(np.full(len(entries), b.column("chunk")[k].as_py(), dtype=np.int64))
                 whole = pa.record_batch({"chunk": chunk, "idx": pa.array(np.arange(len(entries), dtype=np.int32)), "entry": entries, "n": pa.array(n)})
                 for a in range(0, len(entries), 65_536):
@@ -151,40 +181,76 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
     without an escape.
 
     Going up the orders, `low` is the log-probability of a symbol by the orders below k once ctx has been
-    escaped from, and `logp` the one that starts at the longest seen context of at most k symbols.
+    escaped from, and `logp` the one that starts at the longest seen context of at most k symbols. Each
+    order joins its n-grams to those one shorter and takes sums over each context's symbols (257 at most).
     """
-    counts: dict[int, DataFrame] = {order: grams.filter("n > 0").select(F.col("entry").alias("key"), F.col("n").alias("c"))}
+    at: dict[int, DataFrame] = {order: grams.select(F.col("entry").alias("key"), F.when(F.col("n") > 0, F.col("n")).alias("c"))}
     for k in range(order - 1, -1, -1):
-        counts[k] = staged(counts[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"ppm-counts-{k}")
-    ctx = F.shiftright("key", BITS)
-    wanted: dict[int, DataFrame] = {order: grams.select(F.col("entry").alias("key"))}
-    for k in range(order - 1, -1, -1):
-        wanted[k] = wanted[k + 1].select(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).distinct()
-    nodes = {k: counts[k].groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("q")) for k in counts}
+        up = at[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count("c").alias("c"))
+        at[k] = staged(up.select("key", F.when(F.col("c") > 0, F.col("c")).alias("c")), f"ppm-keys-{k}")
+    context = W.partitionBy(F.shiftright("key", BITS))
     below = None
     for k in range(order + 1):
-        node = nodes[k].select("ctx", F.log10(DISCOUNT * F.col("q")).alias("log_q"), F.log10(F.col("n").cast("double")).alias("log_all"), "q")
+        rows = at[k]
+        if k:
+            short = below.select(F.col("key").alias("down"), F.col("c").alias("sc"), F.col("n").alias("sn"), F.col("q").alias("sq"), F.col("low").alias("slow"), F.col("logp").alias("shorter"))
+            rows = rows.withColumn("down", F.col("key").bitwiseAND(F.lit(_mask(k - 1)))).join(short, "down").drop("down")
+        rows = rows.withColumn("n", F.sum("c").over(context)).withColumn("q", F.count("c").over(context))
         if k:
-            # What is left of the next shorter context when the symbols seen in this one are excluded.
-            shorter, up = counts[k - 1].select(F.col("key").alias("up"), F.col("c").alias("cc")), nodes[k - 1].select(F.col("ctx").alias("sctx"), F.col("n").alias("sn"), F.col("q").alias("sq"))
-            gone = counts[k].select(ctx.alias("ctx"), F.col("key").bitwiseAND(F.lit(_mask(k - 1))).alias("up")).join(shorter, "up").groupBy("ctx").agg(F.sum("cc").alias("gone"))
-            left = node.join(gone, "ctx").withColumn("sctx", F.col("ctx").bitwiseAND(F.lit(_mask(k - 2) if k > 1 else 0))).join(up, "sctx")
-            free, more = F.col("sn") - F.col("gone"), F.col("sq") - F.col("q")
-            some, all_left = more > 0, F.log10(free.cast("double"))
-            node = left.select("ctx", "log_q", "log_all", F.when(some, all_left).otherwise(0.0).alias("left_all"), F.when(some, F.log10(DISCOUNT * more) - all_left).otherwise(0.0).alias("left_escape"))
-        at = wanted[k].withColumn("ctx", ctx).join(node, "ctx", "left").join(counts[k], "key", "left")
-        if k == 0:
-            fresh = -F.log10(F.greatest(F.lit(ALPHABET) - F.coalesce("q", F.lit(0)), F.lit(1)).cast("double"))
-            at = at.withColumn("low", fresh).withColumn("shorter", fresh)
+            rows = rows.withColumn("free", F.col("sn") - F.sum(F.when(F.col("c").isNotNull(), F.col("sc"))).over(context)).withColumn("more", F.col("sq") - F.col("q"))
+            some, all_left = F.col("more") > 0, F.log10(F.col("free").cast("double"))
+            left_all = F.when(some, all_left).otherwise(0.0)
+            low = F.when(F.col("sc").isNotNull(), F.log10(F.col("sc") - DISCOUNT) - left_all).otherwise(F.when(some, F.log10(DISCOUNT * F.col("more")) - all_left).otherwise(0.0) + F.col("slow"))
         else:
-            short = below.select(F.col("key").alias("down"), F.col("c").alias("sc"), F.col("low").alias("slow"), F.col("logp").alias("shorter"))
-            at = at.withColumn("down", F.col("key").bitwiseAND(F.lit(_mask(k - 1)))).join(short, "down")
-            at = at.withColumn("low", F.when(F.col("sc").isNotNull(), F.log10(F.col("sc") - DISCOUNT) - F.col("left_all")).otherwise(F.col("left_escape") + F.col("slow")))
-        logp = F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) - F.col("log_all")).when(F.col("log_all").isNotNull(), F.col("log_q") - F.col("log_all") + F.col("low")).otherwise(F.col("shorter"))
-        below = staged(at.select("key", "c", "low", logp.alias("logp")), f"ppm-order-{k}")
+            low = -F.log10(F.greatest(F.lit(ALPHABET) - F.col("q"), F.lit(1)).cast("double"))
+            rows = rows.withColumn("shorter", low)
+        rows = rows.withColumn("low", low)
+        log_n = F.log10(F.col("n").cast("double"))
+        logp = F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) - log_n).when(F.col("q") > 0, F.log10(DISCOUNT * F.col("q")) - log_n + F.col("low")).otherwise(F.col("shorter"))
+        rows = rows.withColumn("logp", logp)
+        below = staged(rows.select("key", "logp") if k == order else rows.select("key", "c", "n", "q", "low", "logp"), f"ppm-order-{k}")
     return below.select(F.col("key").alias("entry"), "logp")
 
 
+def _packed(rows: DataFrame, kind: int) -> DataFrame:
+    """(chunk, idx, value) -> (chunk, kind, data): what a task has of a chunk, sorted and compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            chunk, idx, value = (t.column(c).to_numpy() for c in ("chunk", "idx", "value"))
+            order = np.lexsort((idx, chunk))
+            chunk, idx, value = chunk[order], idx[order], value[order]
+            cut = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+            data = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                step = np.diff(idx[a:b], prepend=0).astype("<i4")
+                data.append(struct.pack("<I", b - a) + zlib.compress(step.tobytes() + value[a:b].astype("<f8").tobytes(), 1))
+            yield pa.record_batch({"chunk": pa.array(chunk[cut[:-1]]), "kind": pa.array(np.full(len(data), kind, dtype=np.int32)), "data": pa.array(data, pa.binary())})
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACK_ROWS:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    return rows.mapInArrow(pack, "chunk long, kind int, data binary")
+
+
+def _unpacked(data: list[bytes], n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for d in data:
+        size = struct.unpack_from("<I", d)[0]
+        raw = zlib.decompress(d[4:])
+        out[np.cumsum(np.frombuffer(raw, dtype="<i4", count=size))] = np.frombuffer(raw, dtype="<f8", offset=4 * size)
+    return out
+
+
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -207,31 +273,40 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     below = np.log10(total + 0.5 * (distinct + 1))
     base_end = float(np.log10(ends + 0.5) - below)
     lengths = code_lengths(staged(grams.groupBy("entry").agg(F.sum("n").alias("n")), "ppm-trie"), order)
-    nothing = {"ids": "array<long>", "held": "array<boolean>", "starts": "array<long>", "body": "binary"}
+    told_words = _packed(words.select("chunk", "idx", "entry").join(vocabulary, "entry").select("chunk", "idx", F.col("c").cast("double").alias("value")), 1)
+    told_grams = _packed(grams.select("chunk", "idx", "entry").join(lengths, "entry").select("chunk", "idx", F.col("logp").alias("value")), 2)
+    nothing = {"ids": "array<long>", "held": "array<boolean>", "starts": "array<long>"}
     blank = [F.lit(None).cast(t).alias(c) for c, t in nothing.items()]
-    told_words = words.select("chunk", "idx", "entry").join(vocabulary, "entry").select("chunk", F.lit(1).alias("kind"), "idx", F.col("c").cast("double").alias("value"), *blank)
-    told_grams = grams.select("chunk", "idx", "entry").join(lengths, "entry").select("chunk", F.lit(2).alias("kind"), "idx", F.col("logp").alias("value"), *blank)
-    bodies = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("idx"), F.lit(0.0).alias("value"), *nothing)
-    stream = bodies.union(told_words).union(told_grams)
+    stream = chunks.select("chunk", F.lit(0).alias("kind"), F.col("body").alias("data"), *nothing).union(told_words.union(told_grams).select("chunk", "kind", "data", *blank))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["chunk"]):
             cut = bounds(table, ["chunk"])
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                one = table.slice(int(lo), int(hi - lo))
-                raw, starts, held_out = _opened(one, 0)
-                kind, value = one.column("kind").to_numpy(), one.column("value").to_numpy()
-                c, logp = value[kind == 1], value[kind == 2]
-                _, code, at = word_codes(raw, starts)
-                base, known = np.log10(c + 0.5) - below, (c > 0).astype(np.int64)
-                sums = lambda v: np.add.reduceat(np.append(v, 0), at[:-1]) * (np.diff(at) > 0)
-                base_score, n_known, n_tokens = sums(base[code]) + base_end, sums(known[code]) + (ends > 0), np.diff(at) + 1
-                _, code, at = gram_codes(raw, starts, order)
-                total_logp = np.add.reduceat(logp[code], at[:-1])
-                yield pa.record_batch({
-                    "doc_id": pa.array(one.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
-                    "train_tokens": pa.array(np.full(len(held_out), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": pa.array(total_logp),
-                })
+                yield one_chunk(table.slice(int(lo), int(hi - lo)))
+
+    def one_chunk(one: pa.Table) -> pa.RecordBatch:
+        raw, starts, held_out = _opened(one, 0, "data")
+        kind = one.column("kind").to_numpy()
+        told = {k: one.column("data").filter(pa.array(kind == k)).to_pylist() for k in (1, 2)}
+        entries, code, at = word_codes(raw, starts)
+        c = _unpacked(told[1], len(entries))
+        base, known = np.log10(c + 0.5) - below, (c > 0).astype(np.int64)
+        full = np.diff(at) > 0
+        sums = lambda v: np.add.reduceat(np.append(v, 0), at[:-1]) * full
+        base_score, n_known, n_tokens = sums(base[code]) + base_end, sums(known[code]) + (ends > 0), np.diff(at) + 1
+        del entries, code
+        # The n-grams are numbered as before: by their first appearance in the pieces.
+        parts = [distinct for _, _, distinct, _, _ in gram_pieces(raw, starts, order)]
+        distinct, numbers = merged(parts)
+        del parts
+        value, logp = _unpacked(told[2], len(distinct)), np.zeros(len(held_out))
+        for number, (a, b, _, code, at) in zip(numbers, gram_pieces(raw, starts, order), strict=True):
+            logp[a:b] = np.add.reduceat(value[number][code], at[:-1])
+        return pa.record_batch({
+            "doc_id": pa.array(one.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(held_out), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": pa.array(logp),
+        })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return stream.repartition("chunk").sortWithinPartitions("chunk", "kind", "idx").mapInArrow(finish, out)
+    return stream.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(finish, out)

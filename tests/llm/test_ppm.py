@@ -69,7 +69,8 @@ def same(got, want):
 TEXTS = ["Abra cadabra ", None, "", "  x\n\ny\t", "abracadabra abra", "ÄÖ ü ñ   z", "the cat the mat", "zzzz" * 50, "cat\x0bmat", "qQ \x1f\x00 q"]
 
 
-def test_scores(spark):
+def test_scores(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "PIECE", 9)
     rows = [(i, i % 3 == 1, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame([(i, h, t, "x", 1) for i, h, t in rows], "doc_id long, out boolean, text string, entry string, n int")
     for order, chunk in ((2, 1 << 20), (4, 20)):
