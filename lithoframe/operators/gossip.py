@@ -7,9 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithoframe.functions.digests import fanout
-
-STATE_RANK = {"alive": 0, "suspect": 1, "dead": 2}
-
+from lithoframe.operators.health import ring, ring_start
 
 def gossip_top(members: DataFrame, k: int) -> DataFrame:
     """k members(node, state) to gossip of: alive, then suspect, then dead; ties by node."""
@@ -17,12 +15,12 @@ def gossip_top(members: DataFrame, k: int) -> DataFrame:
     return members.withColumn("rank", rank).orderBy("rank", "node").limit(k).drop("rank")
 
 
-def fanout_sample(contents: DataFrame, alive: DataFrame, seed: str = "0") -> DataFrame:
-    """max(1, ceil(ln n)) of n live members for each content, by the smallest digests."""
-    n = alive.agg(F.count(F.lit(1)).alias("n"))
-    pairs = contents.select("cid").join(alive.select("node")).withColumn("h", F.md5(F.concat_ws(":", "cid", "node", F.lit(seed))))
-    ranked = pairs.withColumn("r", F.row_number().over(W.partitionBy("cid").orderBy("h", "node"))).join(F.broadcast(n))
-    return ranked.filter(F.col("r") <= fanout(F.col("n"))).select("cid", "node")
+def fanout_sample(contents: DataFrame, alive: DataFrame) -> DataFrame:
+    """max(1, ceil(ln n)) of n live members for each content: the next ones on the ring from its start."""
+    members = ring(alive)
+    n = members.agg(F.count(F.lit(1)).alias("n"))
+    rows = contents.select("cid").join(F.broadcast(n)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(fanout(F.col("n")), F.col("n")) - 1)))
+    return rows.withColumn("place", (ring_start(F.col("cid"), F.col("n")) + F.col("d")) % F.col("n")).join(members, "place").select("cid", "node")
 
 
 def random_members(alive: DataFrame, k: int, seed: str, exclude: int | None = None) -> DataFrame:

@@ -54,17 +54,35 @@ def repairers(holders: DataFrame, alive: DataFrame, me: int | None = None) -> Da
     return found if me is None else found.unionByName(holders.filter(F.col("node") == me)).dropDuplicates(["cid", "node"])
 
 
-def distribution_target(contents: DataFrame, holders: DataFrame, alive: DataFrame, me: int, order: Column | None = None) -> DataFrame:
+def ring(members: DataFrame) -> DataFrame:
+    """members(node) with place 0..n-1 in order of the node; as many rows as the cluster has members."""
+    return members.select("node", (F.row_number().over(W.orderBy("node")) - 1).cast("long").alias("place"))
+
+
+def ring_start(content: Column, n: Column) -> Column:
+    """Where a content's walk around the ring begins."""
+    return F.conv(F.substring(F.md5(content.cast("string")), 1, 7), 16, 10).cast("long") % n
+
+
+def distribution_target(contents: DataFrame, holders: DataFrame, alive: DataFrame, me: int) -> DataFrame:
     """Where a new piece of each content goes: a live holder of one piece, else a live node without any,
-    else any live node, never this one. Of equals, the one with the smallest digest with the content.
+    else any live node, never this one. Of equals, the first on the ring from the content's start.
+
+    A content with h holders walks h + 1 places at most, so the work follows the holders' table.
     """
-    order = F.md5(F.concat_ws(":", "cid", "node")) if order is None else order
-    others = alive.filter(F.col("node") != me).select("node")
-    pairs = contents.select("cid").join(others)  # a stated set of contents against the members
-    known = pairs.join(holders.select("cid", "node", "piece_count"), ["cid", "node"], "left")
-    tier = F.when(F.col("piece_count") == 1, 1).when(F.col("piece_count").isNull(), 2).otherwise(3)
-    best = known.groupBy("cid").agg(F.min(F.struct(tier.alias("tier"), order.alias("h"), "node")).alias("b"))
-    return best.select("cid", F.col("b.node").alias("target"), F.col("b.tier").alias("tier"))
+    others = ring(alive.filter(F.col("node") != me))
+    n = others.agg(F.count(F.lit(1)).alias("n"))
+    all_ = contents.select("cid").distinct().join(F.broadcast(n)).withColumn("start", ring_start(F.col("cid"), F.col("n")))
+    held = holders.select("cid", "node", "piece_count").join(others, "node")
+    one = all_.join(held.filter("piece_count = 1"), "cid").select("cid", F.pmod(F.col("place") - F.col("start"), F.col("n")).alias("d"), "node")
+    one = one.groupBy("cid").agg(F.min_by("node", "d").alias("first"))
+    walk = all_.join(held.groupBy("cid").agg(F.count(F.lit(1)).alias("h")), "cid", "left")
+    walk = walk.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.coalesce("h", F.lit(0)), F.col("n") - 1))))
+    walk = walk.withColumn("place", (F.col("start") + F.col("d")) % F.col("n")).join(others, "place").join(held.select("cid", "node", F.lit(1).alias("taken")), ["cid", "node"], "left")
+    free = F.when(F.col("taken").isNull(), F.col("node"))
+    rest = walk.groupBy("cid").agg(F.min_by(free, F.when(free.isNotNull(), F.col("d"))).alias("second"), F.min_by("node", "d").alias("third"))
+    both = rest.join(one, "cid", "left")
+    return both.select("cid", F.coalesce("first", "second", "third").alias("target"), F.when(F.col("first").isNotNull(), 1).when(F.col("second").isNotNull(), 2).otherwise(3).alias("tier"))
 
 
 def round_robin(pieces: DataFrame, nodes: DataFrame, per_node: int = 2) -> DataFrame:

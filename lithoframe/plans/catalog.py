@@ -386,8 +386,10 @@ def elect_top_n(spark, d):
     return health.elect(_ranked(spark, d), _triage(spark, d)).select("cid", "node", "rank")
 
 
-_TARGET = f"""SELECT cid, node AS target, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY tier, h, node) AS rn FROM (
-SELECT p.cid, a.node, CASE WHEN h.piece_count = 1 THEN 1 WHEN h.piece_count IS NULL THEN 2 ELSE 3 END AS tier, md5(concat_ws(':', p.cid, a.node)) AS h FROM (SELECT cid FROM {{k_of}} WHERE cid % 10 = 0) p, (SELECT node FROM {{alive}} WHERE node <> {HERE}) a LEFT JOIN {{holders}} h ON h.cid = p.cid AND h.node = a.node)) WHERE rn = 1"""
+_RING = "(SELECT node, row_number() OVER (ORDER BY node) - 1 AS place, count(*) OVER () AS n FROM {alive}%s)"
+_START = "CAST('0x' || substr(md5(CAST(p.cid AS VARCHAR)), 1, 7) AS BIGINT)"
+_TARGET = f"""SELECT cid, node AS target, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY tier, d) AS rn FROM (
+SELECT p.cid, a.node, CASE WHEN h.piece_count = 1 THEN 1 WHEN h.piece_count IS NULL THEN 2 ELSE 3 END AS tier, (a.place - {_START} % a.n + a.n) % a.n AS d FROM (SELECT cid FROM {{k_of}} WHERE cid % 10 = 0) p CROSS JOIN {_RING % f" WHERE node <> {HERE}"} a LEFT JOIN {{holders}} h ON h.cid = p.cid AND h.node = a.node)) WHERE rn = 1"""
 
 
 @query(_TARGET)
@@ -446,7 +448,7 @@ def piggyback_count(spark, d):
     return n.select("n", dg.piggyback_count(F.col("n")).alias("k"), dg.fanout(F.col("n")).alias("fanout"))
 
 
-@query("SELECT cid, node FROM (SELECT p.cid, a.node, row_number() OVER (PARTITION BY p.cid ORDER BY md5(concat_ws(':', p.cid, a.node, '0')), a.node) AS r, (SELECT count(*) FROM {alive}) AS n FROM (SELECT cid FROM {k_of} WHERE cid % 10 = 0) p, {alive} a) WHERE r <= greatest(1, ceil(ln(n)))")
+@query(f"SELECT p.cid, a.node FROM (SELECT cid FROM {{k_of}} WHERE cid % 10 = 0) p JOIN {_RING % ''} a ON (a.place - {_START} % a.n + a.n) % a.n < greatest(1, ceil(ln(a.n)))")
 def fanout_sample(spark, d):
     return gossip.fanout_sample(inputs.k_of(spark, d).filter("cid % 10 = 0"), inputs.alive(spark, d))
 

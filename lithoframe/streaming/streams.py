@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,9 +83,11 @@ def membership_stream(messages: DataFrame) -> DataFrame:
 def rendezvous(requests: DataFrame, responses: DataFrame, within: str = "120 seconds") -> DataFrame:
     """requests(cid, waiter, ts) with the first response(cid, resp_ts) not before them and within the wait.
 
-    Unanswered requests stay, with a null; responses nobody waits for are dropped. Batch form; over streams
-    the same condition is an interval join under watermarks on both sides.
+    Unanswered requests stay, with a null; responses nobody waits for are dropped. One pass back in time
+    over both tables: no pairs are made. Over streams it is an interval join under watermarks.
     """
-    r = responses.select(F.col("cid").alias("rcid"), "resp_ts")
-    met = requests.join(r, (F.col("cid") == F.col("rcid")) & (F.col("resp_ts") >= F.col("ts")) & (F.col("resp_ts") < F.col("ts") + F.expr(f"INTERVAL {within}")), "left")
-    return met.groupBy("cid", "waiter", "ts").agg(F.min("resp_ts").alias("resp_ts"))
+    asked = requests.select("cid", "waiter", "ts", F.lit(None).cast("timestamp_ntz").alias("resp_ts"), F.lit(1).alias("asks"))
+    told = responses.select("cid", F.lit(None).cast("long").alias("waiter"), F.col("resp_ts").alias("ts"), F.col("resp_ts").cast("timestamp_ntz"), F.lit(0).alias("asks"))
+    back = W.partitionBy("cid").orderBy(F.desc("ts"), "asks").rowsBetween(W.unboundedPreceding, 0)
+    met = asked.union(told).withColumn("resp_ts", F.last("resp_ts", ignorenulls=True).over(back)).filter("asks = 1")
+    return met.select("cid", "waiter", "ts", F.when(F.col("resp_ts") < F.col("ts") + F.expr(f"INTERVAL {within}"), F.col("resp_ts")).alias("resp_ts"))
