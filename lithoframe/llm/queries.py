@@ -19,6 +19,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
 
+_REACH = """r AS (SELECT id AS x, id AS y FROM ids UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)"""
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9),
+ids AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT x AS doc_id, min(y) AS class_id, (SELECT count(*) FROM l WHERE l.a = x) AS n_links, min(y) = x AS kept FROM r GROUP BY x
+"""
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -66,6 +79,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT x AS vec_id, (SELECT count(*) FROM l WHERE l.a = x) AS n_links, min(y) AS component_id, min(y) = x AS kept FROM r GROUP BY x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_score": op1_ppm_score,
@@ -82,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_embedding_dedup": OP10_SQL}
