@@ -192,7 +192,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
 
     # Only members with a partner of about their size that no earlier tree has brought get their sets.
     met = staged(spread(tiles.select(*TILE, "side", "rep", "shingles", "labels"), TILE, hopeful, "prefix long, tile_i int, tile_j int, side int, rep long"), "near-members")
-    wanted = met.select("rep").distinct()
+    wanted = met.select("rep").distinct().hint("merge")  # texts are dealt alike at every size
     whole = texts.join(wanted, texts.doc_id == wanted.rep, "left_semi")
     known = mine.join(met.select("rep").distinct(), "rep", "left_semi")
 
