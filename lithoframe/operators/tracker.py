@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def holder_upsert(reports: DataFrame, *order: str) -> DataFrame:
-    """Reports in `order` -> one row per (cid, node): the largest count, the last report's last_seen."""
-    return reports.groupBy("cid", "node").agg(F.max("piece_count").alias("piece_count"), F.max_by("last_seen", F.struct(*order)).alias("last_seen"))
+def holder_upsert(reports: DataFrame, order: str = "seq") -> DataFrame:
+    """Reports in `order` -> one row per (cid, node): the largest count, the last report's last_seen.
+
+    `order` is one number, so that the aggregate's buffer has a fixed size and stays in a hash map.
+    """
+    return reports.groupBy("cid", "node").agg(F.max("piece_count").alias("piece_count"), F.max_by("last_seen", order).alias("last_seen"))
 
 
 def available(holders: DataFrame) -> DataFrame:
@@ -20,8 +23,8 @@ def holder_list(holders: DataFrame) -> DataFrame:
     return holders.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("node", "piece_count"))).alias("holders"))
 
 
-def first_writer(reports: DataFrame, value: str, *order: str) -> DataFrame:
-    return reports.groupBy("cid").agg(F.min_by(value, F.struct(*order)).alias(value))
+def first_writer(reports: DataFrame, value: str, order: str = "seq") -> DataFrame:
+    return reports.groupBy("cid").agg(F.min_by(value, order).alias(value))
 
 
 def provider_upsert(announcements: DataFrame) -> DataFrame:

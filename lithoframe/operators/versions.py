@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,19 +82,28 @@ def fold_writes(log: DataFrame, db: str, order: str) -> DataFrame:
     """log(db, order, writer, owner, signed, expected, root) -> verdict of each write, in order.
 
     A write is accepted if it is signed, by the owner, and its expected root is null, or the current
-    root, or there is no root yet; then its root becomes the current one. The order matters, so
-    each database's log is folded in one array.
+    root, or there is no root yet; then its root becomes the current one. The verdict of a write depends
+    on all before it, so each database's log is one group; the fold is linear in it.
     """
-    entry = F.struct(F.col(order).alias("o"), "writer", "owner", "signed", "expected", "root")
-    logs = log.groupBy(db).agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    zero = F.struct(F.lit(None).cast("string").alias("current"), F.expr("cast(array() as array<struct<o:bigint,verdict:string>>)").alias("told"))
-
-    def step(s: Column, w: Column) -> Column:
-        verdict = F.when(~w["signed"], "bad_signature").when(w["writer"] != w["owner"], "unauthorized").when(cas_conflict(w["expected"], s["current"]), "conflict").otherwise("accepted")
-        told = F.concat(s["told"], F.array(F.struct(w["o"].cast("long").alias("o"), verdict.alias("verdict"))))
-        return F.struct(F.when(verdict == "accepted", w["root"]).otherwise(s["current"]).alias("current"), told.alias("told"))
-
-    return logs.select(db, F.explode(F.aggregate("log", zero, step)["told"]).alias("t")).select(db, F.col("t.o").alias(order), "t.verdict")
+    kind, kinds = log.schema[order].dataType.simpleString(), log.schema[db].dataType.simpleString()
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("o")
+        current, told = None, []
+        for writer, owner, signed, expected, root in zip(group["writer"], group["owner"], group["signed"], group["expected"], group["root"], strict=True):
+            if not signed:
+                told.append("bad_signature")
+            elif writer != owner:
+                told.append("unauthorized")
+            elif expected is not None and current is not None and expected != current:
+                told.append("conflict")
+            else:
+                told.append("accepted")
+                current = root
+        return pd.DataFrame({db: group["db"], order: group["o"], "verdict": told})
+
+    rows = log.select(F.col(db).alias("db"), F.col(order).alias("o"), "writer", "owner", "signed", "expected", "root")
+    return rows.groupBy("db").applyInPandas(fold, f"{db} {kinds}, {order} {kind}, verdict string")
 
 
 def migration_class(sql: Column) -> Column:

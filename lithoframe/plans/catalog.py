@@ -262,11 +262,9 @@ def database_ids(spark, d):
 # -- tracker ----------------------------------------------------------------------------------------
 
 
-@query("SELECT cid, node, max(piece_count) AS piece_count, arg_max(last_seen, l_orderkey * 100 + l_linenumber) AS last_seen FROM (SELECT * FROM {reports}) GROUP BY cid, node HAVING count(DISTINCT l_orderkey * 100 + l_linenumber) = count(*)")
+@query("SELECT cid, node, max(piece_count) AS piece_count, arg_max(last_seen, seq) AS last_seen FROM {reports} GROUP BY cid, node")
 def holder_upsert(spark, d):
-    r = inputs.reports(spark, d)
-    unique = r.groupBy("cid", "node").agg(F.count_distinct("l_orderkey", "l_linenumber").alias("u"), F.count(F.lit(1)).alias("n")).filter("u = n").select("cid", "node")
-    return tracker.holder_upsert(r, "l_orderkey", "l_linenumber").join(unique, ["cid", "node"], "left_semi")
+    return tracker.holder_upsert(inputs.reports(spark, d))
 
 
 @query("SELECT cid, CAST(sum(piece_count) AS BIGINT) AS available FROM {holders} GROUP BY cid")
@@ -280,9 +278,9 @@ def holder_list(spark, d):
     return listed.select("cid", F.array_join(F.transform("holders", lambda x: F.concat_ws(":", x["node"], x["piece_count"])), ",").alias("holders"))
 
 
-@query("SELECT cid, arg_min(piece_count, (l_orderkey * 100 + l_linenumber) * 100 + piece_count) AS piece_count FROM {reports} GROUP BY cid")
+@query("SELECT cid, arg_min(piece_count, seq * 10 + piece_count) AS piece_count FROM {reports} GROUP BY cid")
 def first_writer_k(spark, d):
-    return tracker.first_writer(inputs.reports(spark, d), "piece_count", "l_orderkey", "l_linenumber", "piece_count")
+    return tracker.first_writer(inputs.reports(spark, d).withColumn("seq", F.col("seq") * 10 + F.col("piece_count")), "piece_count")
 
 
 @query("SELECT count(DISTINCT cid) AS contents, count(*) AS records FROM {holders}")

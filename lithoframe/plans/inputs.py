@@ -10,7 +10,7 @@ from lithoframe.session import table
 
 #: The same projections for the oracle.
 SQL = {
-    "reports": "(SELECT l_partkey AS cid, l_suppkey AS node, CAST(floor(l_quantity / 10) AS INT) AS piece_count, l_shipdate AS last_seen, l_orderkey, l_linenumber FROM lineitem)",
+    "reports": "(SELECT l_partkey AS cid, l_suppkey AS node, CAST(floor(l_quantity / 10) AS INT) AS piece_count, l_shipdate AS last_seen, (l_orderkey * 100 + l_linenumber) * 100000 + datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS seq FROM lineitem)",
     "holders": "(SELECT l_partkey AS cid, l_suppkey AS node, max(CAST(floor(l_quantity / 10) AS INT)) AS piece_count FROM lineitem GROUP BY 1, 2)",
     "k_of": "(SELECT p_partkey AS cid, p_size AS k FROM part)",
     "alive": "(SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 7 <> 0)",
@@ -24,7 +24,9 @@ SQL = {
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("cid"), F.col("l_suppkey").alias("node"), F.floor(F.col("l_quantity") / 10).cast("int").alias("piece_count"), F.col("l_shipdate").alias("last_seen"), "l_orderkey", "l_linenumber")
+    """Holder reports; seq orders them, by the date where a line of an order occurs twice."""
+    seq = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 100_000 + F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("cid"), F.col("l_suppkey").alias("node"), F.floor(F.col("l_quantity") / 10).cast("int").alias("piece_count"), F.col("l_shipdate").alias("last_seen"), seq.alias("seq"))
 
 
 def holders(spark: SparkSession, d: str) -> DataFrame:
