@@ -12,12 +12,13 @@ only dictionaries are counted, joined and sent back, and the chunk's texts are t
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,9 +32,9 @@ ORDER, BITS, END, ALPHABET = 5, 9, 257, 257
 #: Taken from every count for the escape.
 DISCOUNT = 0.5
 #: Bytes of text of a chunk, about; one longer text is a chunk of its own.
-CHUNK = 10 << 20
-#: Bytes of a chunk whose n-grams are numbered at once.
-PIECE = 1 << 40
+CHUNK = 32 << 20
+#: Bytes of a chunk whose words and n-grams are numbered at once.
+PIECE = 4 << 20
 #: Rows that a task packs at once.
 PACK_ROWS = 2_000_000
 
@@ -46,26 +47,39 @@ CHUNK_SCHEMA = "chunk long, ids array<long>, held array<boolean>, starts array<l
 
 
 def chunked(texts: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(doc_id, held, text) -> chunks: ids, held flags, starts (and the end) of texts, lower-cased bytes."""
+    """(doc_id, held, text) -> chunks: ids, held flags, starts (and the end) of texts, lower-cased and compressed bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, room = TaskContext.get().partitionId() << 32, 0
-        ids, held, parts = [], [], []
+        ids, held, sizes, parts = [], [], [], []
 
         def out() -> pa.RecordBatch:
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            body = _LOWER[np.frombuffer(b"".join(parts), dtype=np.uint8)].tobytes()
-            return pa.record_batch({"chunk": pa.array([n]), "ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "starts": pa.array([starts], pa.list_(pa.int64())), "body": pa.array([body], pa.binary())})
+            body = np.concatenate(parts)
+            np.take(_LOWER, body, out=body)
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+            binary = pa.array([zstandard.compress(body, 3)], pa.binary())
+            return pa.record_batch({"chunk": pa.array([n]), "ids": pa.array([np.concatenate(ids)], pa.list_(pa.int64())), "held": pa.array([np.concatenate(held)], pa.list_(pa.bool_())), "starts": pa.array([starts], pa.list_(pa.int64())), "body": binary})
 
         for b in batches:
-            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if parts and room + len(t) > size:
-                    yield out()
-                    n, room, ids, held, parts = n + 1, 0, [], [], []
-                ids.append(i)
-                held.append(h)
-                parts.append(t)
-                room += len(t)
+            at = np.frombuffer(b.column("text").buffers()[1], dtype=np.int32)[b.column("text").offset :][: b.num_rows + 1]
+            flat = np.frombuffer(b.column("text").buffers()[2] or b"", dtype=np.uint8)
+            doc, out_ = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("held").to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < b.num_rows:
+                hi = int(np.searchsorted(at, at[lo] + max(0, size - room), side="right")) - 1
+                if hi <= lo:
+                    if parts:
+                        yield out()
+                        n, room, ids, held, sizes, parts = n + 1, 0, [], [], [], []
+                        continue
+                    hi = lo + 1
+                hi = min(hi, b.num_rows)
+                ids.append(doc[lo:hi])
+                held.append(out_[lo:hi])
+                sizes.append(np.diff(at[lo : hi + 1]))
+                parts.append(flat[at[lo] : at[hi]].copy())
+                room += int(at[hi] - at[lo])
+                lo = hi
         if parts:
             yield out()
 
@@ -115,49 +129,50 @@ def gram_codes(raw: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndar
     return distinct, code, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def gram_pieces(raw: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some texts of a chunk at a time: (first text, text after the last, *gram_codes of them)."""
+def pieces(raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some texts of a chunk at a time: (first text, text after the last, their bytes, their starts)."""
     a = 0
     while a < len(starts) - 1:
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
-        yield a, b, *gram_codes(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], order)
+        yield a, b, raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
         a = b
 
 
-def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct values of all parts in order of appearance, and the number of each part's values."""
-    if not parts:
-        return np.zeros(0, dtype=np.int64), []
-    code, distinct = pd.factorize(np.concatenate(parts))
+def merged(parts: list) -> tuple[pa.Array | np.ndarray, list[np.ndarray]]:
+    """Distinct entries of all parts in order of appearance, and the number of each part's entries."""
+    if parts and isinstance(parts[0], pa.Array):
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    else:
+        code, distinct = pd.factorize(np.concatenate(parts))
     return distinct, np.split(code, np.cumsum([len(p) for p in parts])[:-1])
 
 
 def _opened(row: pa.RecordBatch | pa.Table, k: int, text: str = "body") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body, starts, held = (row.column(c)[k] for c in (text, "starts", "held"))
-    return np.frombuffer(body.as_buffer(), dtype=np.uint8), starts.values.to_numpy(), np.asarray(held.as_py(), dtype=bool)
+    raw = np.frombuffer(zstandard.decompress(body.as_buffer()), dtype=np.uint8)
+    return raw, starts.values.to_numpy(), np.asarray(held.as_py(), dtype=bool)
 
 
 def _dictionary(chunks: DataFrame, kind: str, order: int) -> DataFrame:
     """(chunk, idx, entry, n): the distinct words or n-grams of each chunk, and how often training texts have them."""
 
+    coder = word_codes if kind == "word" else partial(gram_codes, order=order)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 raw, starts, held = _opened(b, k)
-                if kind == "word":
-                    entries, code, at = word_codes(raw, starts)
-                    entries = entries.cast(pa.string())
-                    n = np.bincount(code[np.repeat(~held, np.diff(at))], minlength=len(entries)).astype(np.int64)
-                else:
-                    parts, counts = [], []
-                    for a, b_, distinct, code, at in gram_pieces(raw, starts, order):
-                        parts.append(distinct)
-                        counts.append(np.bincount(code[np.repeat(~held[a:b_], np.diff(at))], minlength=len(distinct)))
-                    distinct, numbers = merged(parts)
-                    n = np.zeros(len(distinct), dtype=np.int64)
-                    for number, c in zip(numbers, counts, strict=True):
-                        n[number] += c
-                    entries = pa.array(distinct)
+                parts, counts = [], []
+                for a, z, some, at in pieces(raw, starts):
+                    distinct, code, at = coder(some, at)
+                    parts.append(distinct)
+                    counts.append(np.bincount(code[np.repeat(~held[a:z], np.diff(at))], minlength=len(distinct)))
+                entries, numbers = merged(parts)
+                n = np.zeros(len(entries), dtype=np.int64)
+                for number, c in zip(numbers, counts, strict=True):
+                    n[number] += c
+                entries = entries.cast(pa.string()) if kind == "word" else pa.array(entries)
                 chunk = pa.array(np.full(len(entries), b.column("chunk")[k].as_py(), dtype=np.int64))
                 whole = pa.record_batch({"chunk": chunk, "idx": pa.array(np.arange(len(entries), dtype=np.int32)), "entry": entries, "n": pa.array(n)})
                 for a in range(0, len(entries), 65_536):
@@ -227,7 +242,8 @@ def _packed(rows: DataFrame, kind: int) -> DataFrame:
             data = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 step = np.diff(idx[a:b], prepend=0).astype("<i4")
-                data.append(struct.pack("<I", b - a) + zlib.compress(step.tobytes() + value[a:b].astype("<f8").tobytes(), 1))
+                code, table = pd.factorize(value[a:b])  # few values are distinct
+                data.append(struct.pack("<II", b - a, len(table)) + zstandard.compress(b"".join(_planes(x) for x in (step, code.astype("<i4"))) + table.astype("<f8").tobytes(), 1))
             yield pa.record_batch({"chunk": pa.array(chunk[cut[:-1]]), "kind": pa.array(np.full(len(data), kind, dtype=np.int32)), "data": pa.array(data, pa.binary())})
 
         for b in batches:
@@ -242,12 +258,18 @@ def _packed(rows: DataFrame, kind: int) -> DataFrame:
     return rows.mapInArrow(pack, "chunk long, kind int, data binary")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, which compress better."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _unpacked(data: list[bytes], n: int) -> np.ndarray:
     out = np.zeros(n)
     for d in data:
-        size = struct.unpack_from("<I", d)[0]
-        raw = zlib.decompress(d[4:])
-        out[np.cumsum(np.frombuffer(raw, dtype="<i4", count=size))] = np.frombuffer(raw, dtype="<f8", offset=4 * size)
+        size, values = struct.unpack_from("<II", d)
+        raw = zstandard.decompress(d[8:])
+        step, code = (np.frombuffer(raw, dtype=np.uint8, count=4 * size, offset=4 * size * k).reshape(4, size).T.copy().view("<i4").ravel() for k in (0, 1))
+        out[np.cumsum(step)] = np.frombuffer(raw, dtype="<f8", count=values, offset=8 * size)[code]
     return out
 
 
@@ -289,22 +311,24 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         raw, starts, held_out = _opened(one, 0, "data")
         kind = one.column("kind").to_numpy()
         told = {k: one.column("data").filter(pa.array(kind == k)).to_pylist() for k in (1, 2)}
-        entries, code, at = word_codes(raw, starts)
-        c = _unpacked(told[1], len(entries))
-        base, known = np.log10(c + 0.5) - below, (c > 0).astype(np.int64)
-        full = np.diff(at) > 0
-        sums = lambda v: np.add.reduceat(np.append(v, 0), at[:-1]) * full
-        base_score, n_known, n_tokens = sums(base[code]) + base_end, sums(known[code]) + (ends > 0), np.diff(at) + 1
-        del entries, code
-        # The n-grams are numbered as before: by their first appearance in the pieces.
-        parts = [distinct for _, _, distinct, _, _ in gram_pieces(raw, starts, order)]
-        distinct, numbers = merged(parts)
-        del parts
-        value, logp = _unpacked(told[2], len(distinct)), np.zeros(len(held_out))
-        for number, (a, b, _, code, at) in zip(numbers, gram_pieces(raw, starts, order), strict=True):
-            logp[a:b] = np.add.reduceat(value[number][code], at[:-1])
+        n = len(held_out)
+        base_score, logp, n_known, n_tokens = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        # Entries are numbered as before: by their first appearance in the pieces.
+        for kind_, coder in ((1, word_codes), (2, partial(gram_codes, order=order))):
+            distinct, numbers = merged([coder(some, at)[0] for _, _, some, at in pieces(raw, starts)])
+            value = _unpacked(told[kind_], len(distinct))
+            del distinct
+            base = np.log10(value + 0.5) - below if kind_ == 1 else None
+            for number, (a, b, some, at) in zip(numbers, pieces(raw, starts), strict=True):
+                _, code, at = coder(some, at)
+                code, first, full = number[code], at[:-1], np.diff(at) > 0
+                sums = lambda v: np.add.reduceat(np.append(v, 0), first) * full  # noqa: E731, B023
+                if kind_ == 1:
+                    base_score[a:b], n_known[a:b], n_tokens[a:b] = sums(base[code]) + base_end, sums((value[code] > 0).astype(np.int64)) + (ends > 0), np.diff(at) + 1
+                else:
+                    logp[a:b] = sums(value[code])
         return pa.record_batch({
-            "doc_id": pa.array(one.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+            "doc_id": pa.array(one.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
             "train_tokens": pa.array(np.full(len(held_out), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": pa.array(logp),
         })
 
