@@ -75,7 +75,7 @@ class _Model:
         self.digit[row, digit] = c + _STEP
 
 
-_ABOVE = np.arange(16)
+_HALF = np.uint32(16)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -88,17 +88,17 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
     model = _Model(lanes)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
+    low, width = np.zeros(lanes, dtype=np.uint32), np.full(lanes, 0xFFFFFFFF, dtype=np.uint32)
     room = most * 3 + 8
     out, used = np.zeros((lanes, 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
 
     def put(lane: np.ndarray, below: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
         nonlocal out
         unit = width[lane] // total
-        lo, w = low[lane] + unit * below, unit * own
-        over = np.flatnonzero(lo >> np.uint64(32))
+        was = low[lane]
+        lo, w = was + unit * below, unit * own
+        over = np.flatnonzero(lo < was)  # wrapped: a carry
         if len(over):
-            lo[over] &= np.uint64(0xFFFFFFFF)
             who, at = lane[over], used[lane[over]] - 1
             while len(who):
                 out[who, at] += 1
@@ -110,10 +110,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             at = used[who]
             if at.max() >= out.shape[1]:
                 out = np.concatenate([out, np.zeros((lanes, min(out.shape[1], room)), dtype=np.uint16)], axis=1)
-            out[who, at] = lo[short] >> np.uint64(16)
+            out[who, at] = lo[short] >> _HALF
             used[who] = at + 1
-            lo[short] = (lo[short] & np.uint64(0xFFFF)) << np.uint64(16)
-            w[short] <<= np.uint64(16)
+            lo[short] <<= _HALF
+            w[short] <<= _HALF
         low[lane], width[lane] = lo, w
 
     live = lanes
@@ -124,23 +124,26 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict(lane)
         event = np.where(model.p2 == now, 0, np.where(model.p1 == now, 1, 2))
         c = model.counts
-        below = np.where(event == 0, 0, np.where(event == 1, c[:, 0], c[:, 0] + c[:, 1])).astype(np.uint64)
-        put(lane, below, c[lane, event].astype(np.uint64), c.sum(axis=1).astype(np.uint64))
+        upto = c.cumsum(axis=1, dtype=np.uint32)
+        own = c[lane, event]
+        put(lane, upto[lane, event] - own, own, upto[:, 2])
         rest = np.flatnonzero(event == 2)
         if len(rest):
             value, base = now[rest].astype(np.int64), rest * _ROWS
             for k in range(4):
                 row = base + _BASE[k] + (value >> (16 - 4 * k))
                 digit = (value >> (12 - 4 * k)) & 15
-                counts = model.digit[row].astype(np.uint16)
-                below = (counts * (_ABOVE < digit[:, None])).sum(axis=1)
-                put(rest, below.astype(np.uint64), counts[np.arange(len(rest)), digit].astype(np.uint64), counts.sum(axis=1).astype(np.uint64))
+                counts = model.digit[row]
+                upto = counts.cumsum(axis=1, dtype=np.uint16)
+                i = lane[: len(rest)]
+                own = counts[i, digit].astype(np.uint32)
+                put(rest, upto[i, digit] - own, own, upto[:, 15].astype(np.uint32))
                 model.bump(row, digit)
         model.learn(lane, now, event)
     for shift in (16, 0):
         if used.max(initial=0) >= out.shape[1]:
             out = np.concatenate([out, np.zeros((lanes, 8), dtype=np.uint16)], axis=1)
-        out[np.arange(lanes), used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+        out[np.arange(lanes), used] = (low >> np.uint32(shift)) & np.uint32(0xFFFF)
         used += 1
     done: list[bytes] = [b""] * lanes
     for lane, k in enumerate(order):
@@ -155,28 +158,29 @@ def decode(words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     lanes, most = len(order), int(size.max(initial=0))
     got = [np.frombuffer(words[k], dtype="<u2") for k in order]
     start = np.concatenate([[0], np.cumsum([len(g) for g in got])])[:-1]
-    flat = np.concatenate([*got, np.zeros(4, dtype=np.uint16)]).astype(np.uint64)
+    flat = np.concatenate([*got, np.zeros(4, dtype=np.uint16)]).astype(np.uint32)
     model = _Model(lanes)
     at = start + 2
-    code, width = (flat[start] << np.uint64(16)) | flat[start + 1], np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
+    code, width = (flat[start] << _HALF) | flat[start + 1], np.full(lanes, 0xFFFFFFFF, dtype=np.uint32)
     ids = np.zeros((most, lanes), dtype=np.uint16)
 
     def take(lane: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        upto = counts.cumsum(axis=1, dtype=np.uint64)
-        unit = width[lane] // upto[:, -1]
+        upto = counts.cumsum(axis=1, dtype=np.uint16)  # event and digit counts sum to less than 65,536
+        total = upto[:, -1]
+        unit = width[lane] // total
         c = code[lane]
-        found = (upto <= (c // unit)[:, None]).sum(axis=1)
-        found = np.minimum(found, counts.shape[1] - 1)
+        place = np.minimum(c // unit, total - 1).astype(np.uint16)
+        found = (upto <= place[:, None]).sum(axis=1)
         i = np.arange(len(lane))
-        own = counts[i, found].astype(np.uint64)
+        own = counts[i, found].astype(np.uint32)
         c -= unit * (upto[i, found] - own)
         w = unit * own
         short = np.flatnonzero(w < 0x10000)
         if len(short):
             who = lane[short]
-            c[short] = (c[short] << np.uint64(16)) | flat[np.minimum(at[who], len(flat) - 1)]
+            c[short] = (c[short] << _HALF) | flat[np.minimum(at[who], len(flat) - 1)]
             at[who] += 1
-            w[short] <<= np.uint64(16)
+            w[short] <<= _HALF
         code[lane], width[lane] = c, w
         return found
 

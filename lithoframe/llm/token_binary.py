@@ -30,7 +30,7 @@ from lithoframe.llm.range_coder import decode, encode
 
 #: Ids of a block at most and at least, blocks coded in step, characters of a shard about, words whose
 #: ids a worker remembers.
-BLOCK, LEAST_BLOCK, LANES, SHARD_CHARS, REMEMBERED = 4096, 256, 2048, 16 << 20, 400_000
+BLOCK, LEAST_BLOCK, LANES, SHARD_CHARS, REMEMBERED = 4096, 256, 2048, 16 << 20, 700_000
 END = 2
 HEAD = struct.Struct("<4sIII")
 SCHEMA = "shard int, kind int, seq int, record binary"
@@ -96,6 +96,16 @@ class WordEncoder:
             yield out
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file, kept between tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def record(magic: bytes, count: int, plain: bytes, payload: bytes) -> bytes:
     return HEAD.pack(magic, count, zlib.crc32(plain), zlib.crc32(payload)) + payload
 
@@ -120,7 +130,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
         shards = max(1, -(-int(chars) // SHARD_CHARS))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         shard, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         waiting = 0
