@@ -22,6 +22,8 @@ from lithoframe.llm.common import staged, word_count
 MAX_BLOCKS, BLOCK_DOCS = 4096, 64
 #: Sources at most: their sizes and quotas are held on the driver.
 MAX_SOURCES = 100_000
+#: Words of a shard about, shards at most, and quotas (sources times shards) at most.
+SHARD_WORDS, MAX_SHARDS, MAX_QUOTAS = 4_000_000, 16_384, 4_000_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, ceiling: float = 2.0) -> list[float]:
@@ -109,12 +111,13 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     return out.select("doc_id", "src", "size", "source_size", "target", (F.col("size") * times + F.col("part")).alias("taken"), times.alias("times"), "part", "block", "k", "h")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20, shards: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of docs as often as drawn, with docs' columns and _shard, _order.
 
     Whole documents only (plan with split_documents=False), each at most ceiling times; empty ones
     are never drawn. Rows of a shard are shuffled when sorted by _order. Rows with equal id, source
-    and size are drawn together. An empty table gives no rows.
+    and size are drawn together. The number of shards follows the words drawn, unless it is given. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ids = plan(docs, weights, share, ceiling, seed, False, key, text, source)
@@ -122,6 +125,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     drawn = staged(ids.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass")), "mix-drawn")
     used = drawn.groupBy("k", "pass", "block").count()
     runs = staged(used.select("k", "pass", "block", F.row_number().over(W.partitionBy("k").orderBy("pass", "block")).alias("j")), "mix-runs")
+    if shards is None:
+        words = drawn.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+        sources = drawn.agg(F.max("k").alias("k")).first().k or 0
+        shards = max(1, min(-(-int(words) // SHARD_WORDS), MAX_SHARDS, MAX_QUOTAS // (sources + 1)))
     count = sorted((r.k, int(r.n)) for r in runs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())
     split = splitting_tree([n for _, n in count], shards, seed)
     ends = split.cumsum(axis=0)
