@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import text_or_empty
+from lithoframe.llm.common import staged, text_or_empty
 
 
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,6 +36,7 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         F.max("group_size").alias("group_size"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("unequal texts share both digests"))).alias("clash"),
     )
+    digests = staged(digests, "exact-groups")  # read back, the join can split a hot group's rows
     return rows.join(digests, ["h", "text_sha256"]).filter(F.col("clash").isNull()).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
     )
