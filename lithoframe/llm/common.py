@@ -37,12 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and reread: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lithoframe/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
