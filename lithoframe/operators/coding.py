@@ -24,12 +24,16 @@ def coefficient(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 6), 16, 10).cast("long") % 255 + 1).cast("int")
 
 
+def piece_size(k: int) -> Column:
+    """Bytes of each of k pieces of data: ceil(len / k), 1 if it is empty."""
+    return F.greatest(F.ceil(F.octet_length("data") / k), F.lit(1)).cast("int")
+
+
 def split(objects: DataFrame, k: int) -> DataFrame:
     """objects(cid, data) -> (cid, j, off, b): k pieces of ceil(len / k) bytes (1 if empty), zero padded."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    size = F.greatest(F.ceil(F.octet_length("data") / k), F.lit(1)).cast("int")
-    rows = objects.select("cid", F.col("data").cast("binary").alias("data"), size.alias("size"))
+    rows = objects.select("cid", F.col("data").cast("binary").alias("data"), piece_size(k).alias("size"))
     cells = rows.select("cid", "data", "size", F.explode(F.sequence(F.lit(0), F.col("size") * k - 1)).alias("pos"))
     return cells.select("cid", F.floor(F.col("pos") / F.col("size")).cast("int").alias("j"), (F.col("pos") % F.col("size")).cast("int").alias("off"), byte_at(F.col("data"), F.col("pos") + 1).alias("b"))
 
@@ -116,9 +120,10 @@ def decode(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.groupBy("cid").applyInPandas(turn, f"cid {kind}, rank int, data binary")
 
 
-def keystream(contents: DataFrame, length: int, seed: str = "m") -> DataFrame:
-    """(cid, t, off, r): `length` pseudo-random bytes for each of the TAG_BYTES tag bytes."""
-    grid = contents.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TAG_BYTES - 1))).alias("t")).withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+def keystream(contents: DataFrame, length: int | Column, seed: str = "m") -> DataFrame:
+    """(cid, t, off, r): `length` pseudo-random bytes, a number or each content's own, for each of the TAG_BYTES tag bytes."""
+    last = (length if isinstance(length, Column) else F.lit(length)) - 1
+    grid = contents.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TAG_BYTES - 1))).alias("t"), last.alias("last")).withColumn("off", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col("cid").cast("string"), F.col("t").cast("string"), F.col("off").cast("string")))
     return grid.withColumn("r", F.conv(F.substring(h, 1, 2), 16, 10).cast("int"))
 

@@ -742,13 +742,32 @@ def mac_tags(spark, d):
 @query(f"SELECT CAST(cid AS BIGINT) AS cid, CAST(p AS INT) AS p, TRUE AS same FROM (SELECT unnest(range(8)) AS cid), (SELECT unnest(range({K})) AS p)")
 def mac_combine_identity(spark, d):
     """Tags of recoded pieces, computed and combined, agree."""
-    cells, stream = _tagged(spark, d)
-    new = _new(spark, d).filter("cid < 8")
+    return _combined(*_tagged(spark, d), _new(spark, d).filter("cid < 8"))
+
+
+def _combined(cells, stream, new):
     direct = coding.tags(coding.recode(cells, new), stream)
     combined = coding.combine_tags(coding.tags(cells, stream), new).withColumnRenamed("tag", "other")
     return direct.join(combined, ["cid", "p", "t"]).groupBy("cid", "p").agg((F.count_if(F.col("tag") == F.col("other")) == coding.TAG_BYTES).alias("same"))
 
 
+def _tagged_whole(spark, d):
+    o = _objects(spark, d)
+    return coding.encode(o, K, PIECES), coding.keystream(o, coding.piece_size(K))
+
+
+@query()
+def mac_tags_whole(spark, d):
+    """Tags over every byte of every piece of all contents; the SQL of mac_tags has eight contents and 40 bytes."""
+    return coding.tags(*_tagged_whole(spark, d))
+
+
+@query()
+def mac_combine_identity_whole(spark, d):
+    """mac_combine_identity over whole pieces of all contents."""
+    return _combined(*_tagged_whole(spark, d), _new(spark, d))
+
+
 @query("SELECT item_id AS cid, 1 AS width, octet_length(encode(text)) AS bytes FROM benchmark")
 def udf_identity_piece(spark, d):
     return coding.identity_pieces(_objects(spark, d)).select("cid", F.size("vector").alias("width"), F.octet_length("data").cast("long").alias("bytes"))
