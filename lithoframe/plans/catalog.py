@@ -398,9 +398,24 @@ def distribution_target(spark, d):
 @query(f"SELECT e.cid, e.rank, t.target FROM ({_ELECTED}) e JOIN ({_TARGET}) t ON e.cid = t.cid JOIN {{holders}} h ON h.cid = e.cid AND h.node = e.node WHERE h.piece_count >= 2")
 def repair_plan(spark, d):
     """Elected repairers with the two pieces that recoding needs, and where the new piece goes."""
+    return _plan(spark, d, inputs.k_of(spark, d).filter("cid % 10 = 0"))
+
+
+def _plan(spark, d, contents):
     h = inputs.holders(spark, d)
     elected = health.elect(_ranked(spark, d), _triage(spark, d)).join(h.filter("piece_count >= 2").select("cid", "node"), ["cid", "node"])
-    return elected.join(health.distribution_target(inputs.k_of(spark, d).filter("cid % 10 = 0"), h, inputs.alive(spark, d), HERE), "cid").select("cid", "rank", "target")
+    return elected.join(health.distribution_target(contents, h, inputs.alive(spark, d), HERE), "cid").select("cid", "rank", "target")
+
+
+@query()
+def distribution_target_whole(spark, d):
+    """A target for each content; the SQL of distribution_target has every tenth, as its cross join is slow."""
+    return health.distribution_target(inputs.k_of(spark, d), inputs.holders(spark, d), inputs.alive(spark, d), HERE)
+
+
+@query()
+def repair_plan_whole(spark, d):
+    return _plan(spark, d, inputs.k_of(spark, d))
 
 
 @query("SELECT p.l_partkey AS cid, p.piece, s.node FROM (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 100 + l_linenumber, l_quantity, l_extendedprice) - 1 AS piece FROM lineitem) p JOIN (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) s ON (p.piece // 2) % s.n = s.i")
@@ -451,6 +466,11 @@ def fanout_sample(spark, d):
     return gossip.fanout_sample(inputs.k_of(spark, d).filter("cid % 10 = 0"), inputs.alive(spark, d))
 
 
+@query()
+def fanout_sample_whole(spark, d):
+    return gossip.fanout_sample(inputs.k_of(spark, d), inputs.alive(spark, d))
+
+
 @query("SELECT node FROM {alive} WHERE node <> 3 ORDER BY md5(concat_ws(':', node, 'x')), node LIMIT 7")
 def random_members(spark, d):
     return gossip.random_members(inputs.alive(spark, d), 7, "x", HERE)

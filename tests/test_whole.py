@@ -1,11 +1,13 @@
 """Whole jobs beside the SQL's subsets, against brute force on small tables."""
 
 import hashlib
+import math
 
 import pytest
 
 from lithoframe.operators import coding
-from lithoframe.plans.catalog import PIECES, QUERIES, K
+from lithoframe.plans import inputs
+from lithoframe.plans.catalog import HERE, PIECES, QUERIES, K
 
 
 def digest(*parts):
@@ -48,3 +50,26 @@ def test_tags_cover_all_contents_and_bytes(spark, items):
     assert {(r.cid, r.p, r.t): r.tag for r in QUERIES["mac_tags_whole"](spark, d).collect()} == want
     same = QUERIES["mac_combine_identity_whole"](spark, d).collect()
     assert sorted((r.cid, r.p) for r in same) == [(c, p) for c in range(len(texts)) for p in range(K)] and all(r.same for r in same)
+
+
+def test_targets_plans_and_samples_cover_all_contents(spark, data):
+    alive = sorted(r.node for r in inputs.alive(spark, data).collect())
+    held = {(r.cid, r.node): r.piece_count for r in inputs.holders(spark, data).collect()}
+    contents = [r.cid for r in inputs.k_of(spark, data).collect()]
+
+    def walk(cid, nodes):
+        start = int(digest(cid)[:7], 16) % len(nodes)
+        return nodes[start:] + nodes[:start]
+
+    others = [n for n in alive if n != HERE]
+    want = {}
+    for cid in contents:
+        tiers = [1 if held.get((cid, n)) == 1 else 2 if (cid, n) not in held else 3 for n in walk(cid, others)]
+        want[cid] = walk(cid, others)[tiers.index(min(tiers))], min(tiers)
+    assert {r.cid: (r.target, r.tier) for r in QUERIES["distribution_target_whole"](spark, data).collect()} == want
+
+    n = max(1, math.ceil(math.log(len(alive))))
+    assert sorted(map(tuple, QUERIES["fanout_sample_whole"](spark, data).select("cid", "node").collect())) == sorted((c, x) for c in contents for x in walk(c, alive)[:n])
+
+    elected = [r for r in QUERIES["elect_top_n"](spark, data).collect() if held[r.cid, r.node] >= 2]
+    assert sorted(map(tuple, QUERIES["repair_plan_whole"](spark, data).select("cid", "rank", "target").collect())) == sorted((r.cid, r.rank, want[r.cid][0]) for r in elected if r.cid in want)
