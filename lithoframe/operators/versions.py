@@ -59,12 +59,15 @@ def parse_index(serialised: Column) -> Column:
     return F.when(fits, listed)
 
 
-def merkle_roots(leaves: DataFrame, group: str, levels: int) -> DataFrame:
+def merkle_roots(leaves: DataFrame, group: str, levels: int | None = None) -> DataFrame:
     """leaves(group, pos from 0, hash) -> (group, root): pairs are hashed, an odd level repeats its last.
 
-    One aggregate a level, over as many levels as log2 of the largest group; a single leaf is its root.
+    One aggregate a level, over as many levels as log2 of the largest group, found by one aggregate, or
+    over `levels` if those are more; a single leaf is its root.
     """
     at = leaves.select(group, F.col("pos").cast("long").alias("pos"), "hash")
+    last = at.agg(F.max("pos")).first()[0] or 0
+    levels = max(levels or 0, last.bit_length())
     for _ in range(levels):
         n = F.count(F.lit(1)).over(W.partitionBy(group)).alias("n")
         pair = at.select(group, "pos", "hash", n).groupBy(group, F.floor(F.col("pos") / 2).alias("pos"))

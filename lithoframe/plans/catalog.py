@@ -187,7 +187,7 @@ def _merkle_sql(levels: int) -> str:
 @query(_merkle_sql(6))
 def merkle_root(spark, d):
     leaves = _index(spark, d).select("page_id", F.col("page_num").alias("pos"), F.col("cid").alias("hash"))
-    return versions.merkle_roots(leaves, "page_id", 6)
+    return versions.merkle_roots(leaves, "page_id")
 
 
 @query("SELECT page_num, arg_max(v, version) AS last_order FROM (SELECT *, version AS v FROM {page_log}) GROUP BY page_num")

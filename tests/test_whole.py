@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from lithoframe.operators import coding
+from lithoframe.operators import coding, versions
 from lithoframe.plans import inputs
 from lithoframe.plans.catalog import HERE, PIECES, QUERIES, K
 
@@ -73,3 +73,19 @@ def test_targets_plans_and_samples_cover_all_contents(spark, data):
 
     elected = [r for r in QUERIES["elect_top_n"](spark, data).collect() if held[r.cid, r.node] >= 2]
     assert sorted(map(tuple, QUERIES["repair_plan_whole"](spark, data).select("cid", "rank", "target").collect())) == sorted((r.cid, r.rank, want[r.cid][0]) for r in elected if r.cid in want)
+
+
+def merkle(hashes):
+    while len(hashes) > 1:
+        pairs = [(hashes[k], hashes[min(k + 1, len(hashes) - 1)]) for k in range(0, len(hashes), 2)]
+        hashes = [hashlib.sha256(bytes.fromhex(a + b)).hexdigest() for a, b in pairs]
+    return hashes[0]
+
+
+def test_merkle_root_of_long_pages(spark, tmp_path):
+    pages = ["", "a" * 1024, "b" * 65_537, "c" * 65_536 + "d", "c" * 65_536 + "e", "f" * 140_000]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {i: merkle([hashlib.sha256(h[k : k + 1024].encode().ljust(1024, b"\0")).hexdigest() for k in range(0, len(h), 1024)]) for i, h in enumerate(pages) if h}
+    assert {r.page_id: r.root for r in QUERIES["merkle_root"](spark, str(tmp_path)).collect()} == want
+    none = spark.createDataFrame([], "g int, pos int, hash string")
+    assert versions.merkle_roots(none, "g").collect() == []
