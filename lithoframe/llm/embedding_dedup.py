@@ -1,9 +1,11 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one row kept of a group.
 
-Equal vectors collapse first. Centroids are fitted on a bounded sample; every vector goes to its
-nearest cells (PROBES of them), and the pairs of a cell are compared block against block in double
-precision. A pair that meets in several cells counts in the first. Tasks give counts of links and edges of
-spanning trees, never lists of pairs.
+Equal vectors collapse first. Centroids are fitted on a bounded sample; every vector belongs to the cell
+of its nearest centroid, and is also dealt to each cell whose border (the plane midway between the two
+centroids) is within the angle of the threshold: a vector beyond the border that links with it has to be
+as near. So every link is found, and a pair meets in one tile, that of its two cells. Pairs are compared
+block against block in double precision. Tasks give counts of links and edges of spanning trees, never
+lists of pairs.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.common import staged
 from lithoframe.llm.components import connected_components
-from lithoframe.llm.groups import Forest, bounds, runs, spread, tiled
+from lithoframe.llm.groups import Forest, bounds, runs, spread
 
-TILE = ["cell", "tile_i", "tile_j"]
+TILE = ["cell", "other", "tile_i", "tile_j"]
 #: Lengths of vectors at most: each length is compared apart.
 MAX_LENGTHS = 64
-#: Vectors that fit the centroids at most, cells at most, vectors of a cell about, cells of a vector,
-#: vectors of a block.
-SAMPLE, MAX_CELLS, CELL_ROWS, PROBES, BLOCK = 16_384, 8_192, 1_024, 4, 1_024
+#: Vectors that fit the centroids at most, cells at most, vectors of a cell about, vectors of a block.
+SAMPLE, MAX_CELLS, CELL_ROWS, BLOCK = 16_384, 8_192, 1_024, 1_024
+#: Distance from a border by which rounding may err.
+SLACK = 1e-7
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 10) -> np.ndarray:
@@ -47,11 +50,10 @@ def _unit(rows: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL_ROWS, probes: int = PROBES, seed: int = 10) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL_ROWS, seed: int = 10) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
-    Links are pairs of rows with cosine >= threshold, in double precision, that share one of their
-    nearest cells (all pairs if there is one cell). n_links counts the other rows linked directly;
+    Links are all pairs of rows with cosine >= threshold, in double precision. n_links counts the other rows linked directly;
     component_id is the smallest id reachable. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, and neither do vectors of unequal length. Rows with equal
     ids and vectors count as separate rows; ids must not be null. An empty table gives no rows.
@@ -76,7 +78,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector
             x = np.stack(picked["v"].to_numpy()).astype(np.float64) if len(picked) else np.ones((1, dim))
             x = x / np.abs(x).max(axis=1, keepdims=True)
             centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), k, seed=seed)
-        parts.append(_links_of(part, dim, centroids, threshold, probes))
+        parts.append(_links_of(part, dim, centroids, threshold))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -93,48 +95,59 @@ def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector
     return mine.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links_of(part: DataFrame, dim: int, centroids: np.ndarray, threshold: float, probes: int) -> DataFrame:
+def near_cells(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each unit row of x, and which cells hold rows that may link with it, its own included."""
+    dots = x @ c.T
+    home = dots.argmax(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))  # between the centroids
+    reach = np.sqrt(1 - threshold * threshold) if 0 < threshold < 1 else float(threshold <= 0)
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * gap + SLACK
+
+
+def _links_of(part: DataFrame, dim: int, centroids: np.ndarray, threshold: float) -> DataFrame:
     """(rep, links weighted by copies, root): counts and spanning edges of the vectors of one length."""
     held = part.sparkSession.sparkContext.broadcast(centroids)  # MAX_CELLS x dim at most
-    m = min(probes, len(centroids))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(b.column("v"), dim)
-            near = np.zeros((len(x), 1), dtype=np.int32)
-            if len(c) > 1:
-                near = np.concatenate([np.argpartition(-(x[a : a + 2048] @ c.T), m - 1, axis=1)[:, :m] for a in range(0, len(x), 2048)]).astype(np.int32)
-            near = np.sort(near, axis=1)
-            yield pa.record_batch({"rep": b.column("rep"), "copies": b.column("copies"), "x": pa.array(list(x.reshape(len(x), dim)), pa.list_(pa.float64())), "cells": pa.array(list(near), pa.list_(pa.int32()))})
-
-    placed = staged(part.select("rep", "copies", "v").mapInArrow(place, "rep long, copies long, x array<double>, cells array<int>"), "emb-cells")
-    dealt = placed.select("rep", F.explode("cells").alias("cell"))
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                x = _unit(b.column("v"), dim)
+                home, near = np.zeros(len(x), dtype=np.int64), np.ones((len(x), 1), dtype=bool)
+                if len(c) > 1:
+                    home, near = near_cells(x, c, threshold)
+                cells = pa.ListArray.from_arrays(np.append(0, near.sum(axis=1).cumsum()).astype(np.int32), np.nonzero(near)[1].astype(np.int32))
+                yield pa.record_batch({"rep": b.column("rep"), "copies": b.column("copies"), "x": pa.array(list(x.reshape(len(x), dim)), pa.list_(pa.float64())), "home": pa.array(home.astype(np.int32)), "cells": cells})
+
+    placed = staged(part.select("rep", "copies", "v").mapInArrow(place, "rep long, copies long, x array<double>, home int, cells array<int>"), "emb-cells")
+    sizes = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # at most MAX_CELLS rows
-    spread_out = tiled(placed.select("*", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell"), "rep", F.col("blocks"))
+    dealt = placed.join(F.broadcast(sizes), "home").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = dealt.withColumn("near", F.explode("cells")).drop("cells").join(F.broadcast(sizes.withColumnRenamed("home", "near")), "near")
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine, theirs = F.struct(F.col("home").alias("cell"), F.col("own").alias("tile")), F.struct(F.col("near").alias("cell"), F.col("met").alias("tile"))
+    side = F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1)
+    dealt = dealt.withColumn("side", side.cast("int")).withColumn("_i", F.least(mine, theirs)).withColumn("_j", F.greatest(mine, theirs))
+    spread_out = dealt.select("*", F.col("_i.cell").alias("cell"), F.col("_j.cell").alias("other"), F.col("_i.tile").alias("tile_i"), F.col("_j.tile").alias("tile_j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, TILE):
             at = bounds(table, TILE)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 one = table.slice(int(lo), int(hi - lo)).combine_chunks()
-                found = _tile(one, dim, m, threshold)
+                found = _tile(one, dim, threshold)
                 if found is not None:
                     yield found
 
-    keep = spread_out.select(*TILE, "side", "rep", "copies", "x", "cells")
+    keep = spread_out.select(*TILE, "side", "rep", "copies", "x")
     return spread(keep, TILE, compare, "rep long, links long, root long")
 
 
-def _tile(t: pa.Table, dim: int, m: int, threshold: float) -> pa.RecordBatch | None:
+def _tile(t: pa.Table, dim: int, threshold: float) -> pa.RecordBatch | None:
     """Links inside one tile: of the row block with the column block, or of a block with itself."""
     rep, copies, side = (t.column(k).to_numpy() for k in ("rep", "copies", "side"))
     x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), dim)
-    cells = t.column("cells").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), m)
-    cell = t.column("cell")[0].as_py()
     rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(rows) or not len(cols):
         return None
@@ -151,15 +164,13 @@ def _tile(t: pa.Table, dim: int, m: int, threshold: float) -> pa.RecordBatch | N
         i, j = np.nonzero(hit)
         if not len(i):
             continue
-        shared = (cells[r[i]][:, :, None] == cells[cols[j]][:, None, :]).any(axis=2)
-        first = np.where(shared, cells[r[i]], np.iinfo(np.int32).max).min(axis=1) == cell
-        i, j = r[i[first]], cols[j[first]]
+        i, j = r[i], cols[j]
         np.add.at(total, i, copies[j])
         np.add.at(total, j, copies[i])
-        for q, others in zip(i[np.append(0, np.flatnonzero(np.diff(i)) + 1)] if len(i) else (), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=False):
+        for q, others in zip(i[np.append(0, np.flatnonzero(np.diff(i)) + 1)], np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=False):
             for o in {forest.find(int(o)) for o in rank[others]}:
                 forest.join(int(rank[q]), o)
-        any_link = any_link or len(i) > 0
+        any_link = True
     if not any_link:
         return None
     linked = np.flatnonzero(total)
