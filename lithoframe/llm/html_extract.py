@@ -40,6 +40,10 @@ MAIN_REGIONS = frozenset(["article", "main"])
 # Names in class, id, role or itemprop of the region with the main text.
 MAIN_NAMES = frozenset("article articlebody article-body article-content content-body entry-content main main-content maincontent post-body post-content story-body".split())
 CLOSES_P = BLOCK_TAGS - frozenset(["html", "body", "head"])
+# Tags whose start ends open elements without an end tag, and the elements that this doesn't reach beyond.
+CELLS, ITEMS = ("td", "th"), ("dt", "dd")
+IN_TABLE, IN_LIST = ("table", "template"), tuple(sorted(BLOCK_TAGS - frozenset(["address", "div", "p", *ITEMS])))
+IMPLIED = {t: (CELLS, IN_TABLE) for t in CELLS} | {"tr": (("tr", *CELLS, "caption"), IN_TABLE)} | {t: (("thead", "tbody", "tfoot", "tr", *CELLS, "caption"), IN_TABLE) for t in ("thead", "tbody", "tfoot")} | {t: (ITEMS, IN_LIST) for t in ITEMS}
 
 LINK_DENSITY, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.33, 0.12, 0.28, 70, 200
 
@@ -88,6 +92,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     """Blocks with text, in page order, and whether some region holds the main text."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # where the stack has each tag
     text: list[str] = []
     link = linked = 0
     breaks = 0
@@ -104,6 +109,16 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             text.clear()
         linked = 0
 
+    def cut(to: int) -> None:
+        nonlocal bad, main
+        while len(stack) > to:
+            t, r = stack.pop()
+            places[t].pop()
+            bad, main = bad - (r == -1), main - (r == 1)
+
+    def top(tags: tuple[str, ...]) -> int:
+        return max((at[-1] for t in tags if (at := places.get(t))), default=-1)
+
     for m in TOKEN.finditer(page):
         tag = m[3] or m[6]
         if tag is None:
@@ -131,17 +146,19 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         flush()
         link = 0
         if close:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                if stack[k][0] == tag:
-                    for _, r in stack[k:]:
-                        bad, main = bad - (r == -1), main - (r == 1)
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
         elif tag not in VOID_TAGS:
-            if stack and stack[-1][0] == "p" and tag in CLOSES_P or stack and tag == stack[-1][0] and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                _, r = stack.pop()
-                bad, main = bad - (r == -1), main - (r == 1)
+            if tag in IMPLIED:
+                ends, stops = IMPLIED[tag]
+                bound = top(stops)
+                open_ = [at[-1] for t in ends if (at := places.get(t)) and at[-1] > bound]
+                if open_:
+                    cut(min(open_))
+            if stack and stack[-1][0] == "p" and tag in CLOSES_P or stack and tag == stack[-1][0] and tag in ("li", "option"):
+                cut(len(stack) - 1)
             r = _region(tag, attributes, bool(main)) if not attributes.endswith("/") or tag == "p" else 0
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, r))
             bad, main = bad + (r == -1), main + (r == 1)
             has_main = has_main or r == 1 and not bad
