@@ -42,9 +42,17 @@ def probe_round_robin(ticks: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with batch: `size` at a time in order of key inside each shard of 2^20 keys."""
-    shard = F.floor(F.col(key) / F.lit(1 << 20))
-    return rows.withColumn("_s", shard).withColumn("batch", F.floor((F.row_number().over(W.partitionBy("_s").orderBy(key)) - 1) / size).cast("long") + F.col("_s") * F.lit(1 << 20)).drop("_s")
+    """rows with batch: `size` at a time in order of key over the whole table, null keys last.
+
+    Positions are ranks inside each span of 2^20 keys plus the rows of the spans before, so no task
+    sorts more than a span.
+    """
+    spans = rows.withColumn("_s", F.floor(F.col(key) / F.lit(1 << 20)))
+    sizes = spans.groupBy(F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_t", (F.sum("_n").over(W.orderBy(F.asc_nulls_last("_t"))) - F.col("_n")).alias("_before"))
+    ranked = spans.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy(key)) - 1)
+    placed = ranked.join(sizes, F.col("_s").eqNullSafe(F.col("_t")))
+    return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_r")) / size).cast("long")).drop("_s", "_t", "_r", "_before")
 
 
 def sequential_reads(reads: DataFrame, ahead: int = 8) -> DataFrame:

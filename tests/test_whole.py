@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from lithoframe.operators import coding, versions
+from lithoframe.operators import coding, gossip, versions
 from lithoframe.plans import inputs
 from lithoframe.plans.catalog import HERE, PIECES, QUERIES, K
 
@@ -89,3 +89,12 @@ def test_merkle_root_of_long_pages(spark, tmp_path):
     assert {r.page_id: r.root for r in QUERIES["merkle_root"](spark, str(tmp_path)).collect()} == want
     none = spark.createDataFrame([], "g int, pos int, hash string")
     assert versions.merkle_roots(none, "g").collect() == []
+
+
+def test_batches_run_on_over_spans_of_keys(spark):
+    span = 1 << 20
+    ids = [*range(-3, 250), *range(span - 130, span + 270), *range(5 * span, 40 * span, span), 10**12]
+    got = gossip.batches(spark.createDataFrame([(i,) for i in ids[::-1]], "doc_id long"), "doc_id", 100)
+    assert got.columns == ["doc_id", "batch"]
+    assert {r.doc_id: r.batch for r in got.collect()} == {x: k // 100 for k, x in enumerate(ids)}
+    assert sorted(str(r.batch) for r in gossip.batches(spark.createDataFrame([(7,), (None,)], "doc_id long"), "doc_id", 1).collect()) == ["0", "1"]
