@@ -42,13 +42,28 @@ def snapshot(log: DataFrame, version: int | Column, keys: list[str], *values: st
 
 
 def root_cid(index: DataFrame, group: list[str]) -> DataFrame:
-    """Digest of the serialised index: count, then (page_num, cid) in order of page_num, little-endian."""
-    entries = F.array_sort(F.collect_list(F.struct("page_num", "cid")))
+    """Digest of the serialised index: count, then (page_num, cid) in order of page_num, little-endian; a null cid is no entry."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("cid").isNotNull(), F.struct("page_num", "cid"))))
     listed = index.groupBy(*group).agg(entries.alias("e"))
     text = F.concat(le32(F.size("e")), F.array_join(F.transform("e", lambda x: F.concat(le32(x["page_num"]), x["cid"])), ""))
     return listed.select(*group, F.size("e").alias("pages"), F.sha2(F.unhex(text), 256).alias("root"))
 
 
+def commit_roots(log: DataFrame, every: int) -> DataFrame:
+    """log(page_num, version, cid) -> (version, pages, root) at each `every`-th version and the last one.
+
+    A page's last write of each interval is kept and carried on to later commits, so the log is read once
+    however many commits there are.
+    """
+    last = log.agg(F.max("version").cast("long").alias("last"))
+    commits = last.select(F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("last") / every)), lambda k: F.least(k * every, F.col("last")))).alias("at"))
+    told = log.join(F.broadcast(last)).withColumn("at", F.least(F.ceil(F.col("version") / every) * every, F.col("last")))
+    told = latest(told.withColumn("write", F.struct("cid")), ["at", "page_num"], "version", "write")
+    grid = log.select("page_num").distinct().crossJoin(F.broadcast(commits)).join(told, ["at", "page_num"], "left")
+    carried = F.last("write", ignorenulls=True).over(W.partitionBy("page_num").orderBy("at"))
+    return root_cid(grid.select("at", "page_num", carried["cid"].alias("cid")), ["at"]).withColumnRenamed("at", "version")
+
+
 def parse_index(serialised: Column) -> Column:
     """Hex of an index -> array of (page_num, cid); null if shorter than its count says; more is ignored."""
     number = lambda at: F.conv(F.concat(*[F.substring(serialised, at + d, F.lit(2)) for d in (6, 4, 2, 0)]), 16, 10).cast("long")

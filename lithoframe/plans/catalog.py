@@ -96,6 +96,19 @@ def object_get(spark, d):
     return objects.get(_store(spark, d), asked.select(dg.cid(F.col("text")).alias("cid")).distinct())
 
 
+@query()
+def object_contains_whole(spark, d):
+    """Asks for all documents; the SQL of object_contains has every tenth, and so has that of object_get."""
+    asked = table(spark, d, "benchmark").select("item_id", "text").union(table(spark, d, "documents").select(-1 - F.col("doc_id"), "text"))
+    return objects.contains(_store(spark, d), asked.select("item_id", dg.cid(F.col("text")).alias("cid"))).select("item_id", "present")
+
+
+@query()
+def object_get_whole(spark, d):
+    asked = table(spark, d, "documents").select("text").union(table(spark, d, "benchmark").select("text"))
+    return objects.get(_store(spark, d), asked.select(dg.cid(F.col("text")).alias("cid")).distinct())
+
+
 @query("SELECT DISTINCT sha256(text) AS cid FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0')")
 def object_delete(spark, d):
     gone = table(spark, d, "documents").filter("source = 'src0'").select(dg.cid(F.col("text")).alias("cid"))
@@ -220,6 +233,12 @@ def commit_chain(spark, d):
     return versions.root_cid(index, ["at"]).withColumnRenamed("at", "version")
 
 
+@query()
+def commit_chain_whole(spark, d):
+    """Commits at every hundredth version up to the last; the SQL of commit_chain has four of the first thousand."""
+    return versions.commit_roots(inputs.page_log(spark, d), 100)
+
+
 @query("""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY o_orderkey) AS rn FROM {writes}), f AS (
 SELECT DISTINCT db, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS o_orderkey, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS verdict FROM l
 UNION ALL SELECT l.db, l.rn, l.o_orderkey, CASE WHEN l.signed AND l.writer = l.owner AND (l.expected IS NULL OR f.cur IS NULL OR l.expected = f.cur) THEN l.root ELSE f.cur END,
@@ -675,6 +694,13 @@ def gf_tables(spark, d):
     return xs.select("x", F.explode(F.sequence(F.lit(0), F.lit(255), F.lit(5))).alias("y")).select("x", "y", gf256.mul(F.col("x"), F.col("y")).alias("product"))
 
 
+@query()
+def gf_tables_whole(spark, d):
+    """All 65,536 products; the SQL of gf_tables has every fifth column."""
+    xs = spark.range(256).select(F.col("id").cast("int").alias("x"))
+    return xs.select("x", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("y")).select("x", "y", gf256.mul(F.col("x"), F.col("y")).alias("product"))
+
+
 @query("SELECT CAST(a AS INT) AS a, TRUE AS inverse_ok, TRUE AS divide_ok, TRUE AS commutes, TRUE AS associates, TRUE AS distributes FROM (SELECT unnest(range(1, 256)) AS a)")
 def gf_axioms(spark, d):
     a = F.col("a")

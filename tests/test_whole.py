@@ -98,3 +98,44 @@ def test_batches_run_on_over_spans_of_keys(spark):
     assert got.columns == ["doc_id", "batch"]
     assert {r.doc_id: r.batch for r in got.collect()} == {x: k // 100 for k, x in enumerate(ids)}
     assert sorted(str(r.batch) for r in gossip.batches(spark.createDataFrame([(7,), (None,)], "doc_id long"), "doc_id", 1).collect()) == ["0", "1"]
+
+
+def test_objects_of_all_documents(spark, data):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    have = set(docs.values())
+    got = QUERIES["object_contains_whole"](spark, data).collect()
+    assert sorted((r.item_id, r.present) for r in got) == sorted([(-1 - i, True) for i in docs] + [(i, t in have) for i, t in items.items()])
+    got = QUERIES["object_get_whole"](spark, data).collect()
+    want = {sha(t): t if t in have else None for t in [*docs.values(), *items.values()]}
+    assert len(got) == len(want) and {r.cid: r.data for r in got} == want
+
+
+def roots_of(log, at):
+    live = {}
+    for version, page, cid in sorted(log, key=lambda x: x[0]):
+        if version <= at:
+            live[page] = cid
+    entries = sorted((p, c) for p, c in live.items() if c is not None)
+    body = len(entries).to_bytes(4, "little") + b"".join(p.to_bytes(4, "little") + bytes.fromhex(c) for p, c in entries)
+    return len(entries), hashlib.sha256(body).hexdigest()
+
+
+def test_commits_cover_the_log(spark, data):
+    log = [(r.version, r.page_num, r.cid) for r in inputs.page_log(spark, data).collect()]
+    last = max(x[0] for x in log)
+    got = {r.version: (r.pages, r.root) for r in QUERIES["commit_chain_whole"](spark, data).collect()}
+    assert got == {v: roots_of(log, v) for v in {*range(100, last + 1, 100), last}}
+    assert all(got[r.version] == (r.pages, r.root) for r in QUERIES["commit_chain"](spark, data).collect())
+
+
+def test_commits_with_gaps_and_tombstones(spark):
+    one = "ab" * 32
+    log = [(2, 5, one), (3, 5, None), (31, 1, one), (32, 5, None), (57, 1, None)]
+    rows = versions.commit_roots(spark.createDataFrame(log, "version int, page_num int, cid string"), 10).collect()
+    assert {r.version: (r.pages, r.root) for r in rows} == {v: roots_of(log, v) for v in (10, 20, 30, 40, 50, 57)}
+
+
+def test_all_products(spark, data):
+    assert {(r.x, r.y): r.product for r in QUERIES["gf_tables_whole"](spark, data).collect()} == {(x, y): gf_product(x, y) for x in range(256) for y in range(256)}
