@@ -1,208 +1,227 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
 A block is coded by itself from a fresh model, so any block can be read alone, and numpy codes the
-n-th id of all blocks of a group at once. For each id:
-
-* order 2 and order 1 each predict one id: the one kept for the hashed last two ids, and last id;
-* an event says which prediction holds (order 2, order 1, neither). Its odds mix two adaptive models
-  by adding their counts: one by the confidence of both predictions and whether they agree, one by the
-  recent events;
-* if neither holds, the id goes out as four digits of base 16 from adaptive order-0 counts, each
-  digit in the context of the digits before it.
-
-The range coder has a 32-bit window, emits 16-bit words and passes carries back.
+n-th id of all blocks of a group (the lanes) at once. For each id:
+
+* order 2 and order 1 each predict one id: what last followed the hashed last two ids, and the last id;
+* order 0 predicts the ids that the block has had, all alike;
+* an event says which order holds, the highest that does, or that the id is new to the block. Its odds
+  mix two adaptive models by adding their counts: one by the confidence of both predictions and whether
+  they agree, one by the last two events;
+* an id of order 0 is one of as many as were seen; a new one goes out as one or two 16-bit numbers.
+
+Four counts of 16 bits make one number, so a sum of models and their cumulative counts are one addition
+and one product. The coder's window has 48 bits, exact in doubles; words of 24 bits go out, each with
+room for a carry, which is passed back at the end.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
-#: Cells of the tables that predict by order 1 and order 2.
-SLOTS = 4096
-_ROWS = 1 + 16 + 256 + 4096
-_BASE = (0, 1, 17, 273)
-_STEP, _EVENT_STEP, _FULL = 12, 24, 255
+#: Bits of the tables that predict by order 1 and order 2; ids must be below NONE.
+SLOTS_1, SLOTS_2, NONE = 9, 10, 0x7FFFFFFF
+#: Ids of a block at most.
+MOST = 4096
+_FIELD, _SUMS, _HALVES = np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x7FFF_7FFF_7FFF_7FFF)
+_S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+#: Added to the count of an event, sum of a row's counts that is halved, steps between looks at it.
+_STEP, _FULL, _EVERY = 16, 700, 16
+_ADD = np.asarray([_STEP << (16 * e) for e in range(4)], dtype=np.uint64)
+_START = np.uint64(0x0004_0008_0001_0001)
+_WORD, _RAW = float(1 << 24), 65536.0
 
 
 class _Model:
-    """What encoder and decoder share: predictions and counts of every block (lane) of a group."""
+    """What encoder and decoder share: the predictions and counts of every lane."""
 
     def __init__(self, lanes: int) -> None:
-        self.digit = np.ones((lanes * _ROWS, 16), dtype=np.uint8)
-        self.guess = [np.zeros(lanes * SLOTS, dtype=np.uint16) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
-        self.by_sure = np.ones((lanes * 32, 3), dtype=np.uint16)
-        self.by_past = np.ones((lanes * 27, 3), dtype=np.uint16)
-        self.past = np.zeros(lanes, dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.last2 = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self, lane: np.ndarray) -> None:
-        a, b = self.last[lane], self.last2[lane]
-        at = lane * SLOTS
-        self.at1 = at + ((a * 40_503 >> 4) & (SLOTS - 1))
-        self.at2 = at + (((a * 40_503 + b * 60_493) >> 6) & (SLOTS - 1))
-        self.p1, self.p2 = self.guess[0][self.at1], self.guess[1][self.at2]
-        s1, s2 = self.sure[0][self.at1], self.sure[1][self.at2]
-        self.row = lane * 32 + s1 + 4 * s2 + 16 * (self.p1 == self.p2)
-        self.row_past = lane * 27 + self.past[lane]
-        self.counts = self.by_sure[self.row].astype(np.uint32) + self.by_past[self.row_past]
-
-    def learn(self, lane: np.ndarray, ids: np.ndarray, event: np.ndarray) -> None:
-        for table, row in ((self.by_sure, self.row), (self.by_past, self.row_past)):
-            table[row, event] += _EVENT_STEP
-            full = row[table[row, event] > 4000]
-            if len(full):
-                table[full] = (table[full] >> 1) | 1
-        self.past[lane] = (self.past[lane] % 9) * 3 + event
-        for k, (at, p) in enumerate(((self.at1, self.p1), (self.at2, self.p2))):
-            sure = self.sure[k][at]
-            hit = p == ids
-            sure = np.where(hit, np.minimum(sure + 1, 3), sure - 1)
-            new = sure < 0
-            self.guess[k][at[new]] = ids[new]
-            self.sure[k][at] = np.maximum(sure, 0)
-        self.last2[lane] = self.last[lane]
-        self.last[lane] = ids
-
-    def bump(self, row: np.ndarray, digit: np.ndarray) -> None:
-        c = self.digit[row, digit]
-        full = c > _FULL - _STEP
-        if full.any():
-            r = row[full]
-            self.digit[r] = (self.digit[r] >> 1) | 1
-            c = self.digit[row, digit]
-        self.digit[row, digit] = c + _STEP
-
-
-_HALF = np.uint32(16)
+        at = np.arange(lanes, dtype=np.int64)
+        self.base1, self.base2 = at << SLOTS_1, at << SLOTS_2
+        self.guess1, self.guess2 = (np.full(lanes << bits, NONE, dtype=np.uint32) for bits in (SLOTS_1, SLOTS_2))
+        self.base_sure, self.base_past = at * 8, at * 16
+        self.sure, self.past_counts = np.full(lanes * 8, _START), np.full(lanes * 16, _START)
+        self.at1, self.at2, self.past = self.base1.copy(), self.base2.copy(), np.zeros(lanes, dtype=np.int64)
+        self.before = np.zeros(lanes, dtype=np.uint32)
+        self.steps = 0
+
+    def cut(self, n: int) -> None:
+        """Only the first n lanes go on."""
+        for name in ("base1", "base2", "base_sure", "base_past", "at1", "at2", "past", "before"):
+            setattr(self, name, getattr(self, name)[:n])
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id by order 1, id by order 2, the four counts of the events)."""
+        x1, x2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
+        p1, p2 = x1 & NONE, x2 & NONE
+        self.row = self.base_sure + ((x1 >> 31) | ((x2 >> 30) & 2) | ((p1 == p2).view(np.uint8) * np.uint32(4)))
+        self.row_past = self.base_past + self.past
+        self.own, self.own_past = self.sure.take(self.row), self.past_counts.take(self.row_past)
+        return p1, p2, self.own + self.own_past
+
+    def learn(self, now: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, event: np.ndarray) -> None:
+        add = _ADD.take(event)
+        self.sure[self.row] = self.own + add
+        self.past_counts[self.row_past] = self.own_past + add
+        self.past = ((self.past << 2) & 15) + event
+        self.guess1[self.at1] = now | (hit1.astype(np.uint32) << 31)
+        self.guess2[self.at2] = now | (hit2.astype(np.uint32) << 31)
+        h = now * 2654435761
+        self.at1 = self.base1 + (h >> (32 - SLOTS_1))
+        self.at2 = self.base2 + ((h + self.before) >> (32 - SLOTS_2))
+        self.before = now * 2246822519
+        self.steps += 1
+        if self.steps % _EVERY == 0:
+            for table in (self.sure, self.past_counts):
+                full = np.flatnonzero((table * _SUMS) >> _S48 > _FULL)
+                table[full] = ((table[full] >> np.uint64(1)) & _HALVES) | _SUMS
+
+
+def _live(size: np.ndarray, most: int) -> np.ndarray:
+    """How many of the lanes, longest first, have an n-th id."""
+    return np.searchsorted(-size, -np.arange(most), side="left")
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code words of each block of ids below 65,536, each block from a fresh model."""
+    """Code words of each block of at most MOST ids below NONE, each block from a fresh model."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    size = np.asarray([len(blocks[k]) for k in order])
-    lanes = len(order)
-    most = int(size.max(initial=0))
-    ids = np.zeros((most, lanes), dtype=np.uint16)
+    size = np.asarray([len(blocks[k]) for k in order], dtype=np.int64)
+    lanes, most = len(order), int(size.max(initial=0))
+    if most > MOST:
+        raise ValueError(f"blocks have at most {MOST} ids")
+    ids, rank = np.zeros((most, lanes), dtype=np.uint32), np.zeros((most, lanes), dtype=np.uint16)
+    wide = np.zeros(lanes, dtype=bool)
     for lane, k in enumerate(order):
-        ids[: size[lane], lane] = blocks[k]
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, dtype=np.uint32), np.full(lanes, 0xFFFFFFFF, dtype=np.uint32)
-    room = most * 3 + 8
-    out, used = np.zeros((lanes, 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-
-    def put(lane: np.ndarray, below: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
-        nonlocal out
-        unit = width[lane] // total
-        was = low[lane]
-        lo, w = was + unit * below, unit * own
-        over = np.flatnonzero(lo < was)  # wrapped: a carry
-        if len(over):
-            who, at = lane[over], used[lane[over]] - 1
-            while len(who):
-                out[who, at] += 1
-                again = out[who, at] == 0
-                who, at = who[again], at[again] - 1
-        short = np.flatnonzero(w < 0x10000)
-        if len(short):
-            who = lane[short]
-            at = used[who]
-            if at.max() >= out.shape[1]:
-                out = np.concatenate([out, np.zeros((lanes, min(out.shape[1], room)), dtype=np.uint16)], axis=1)
-            out[who, at] = lo[short] >> _HALF
-            used[who] = at + 1
-            lo[short] <<= _HALF
-            w[short] <<= _HALF
-        low[lane], width[lane] = lo, w
-
-    live = lanes
+        block = np.asarray(blocks[k], dtype=np.uint32)
+        ids[: size[lane], lane] = block
+        rank[: size[lane], lane] = pd.factorize(block)[0]  # by first appearance: the place in the block's list
+        wide[lane] = len(block) and int(block.max()) > 0xFFFF
+    if ids.max(initial=0) >= NONE:
+        raise ValueError(f"ids must be below {NONE}")
+    model, seen = _Model(lanes), np.zeros(lanes)
+    low, width = np.zeros(lanes), np.full(lanes, _WORD * _WORD)
+    cap = 1024
+    out, used = np.zeros((lanes, cap), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
+    row = np.arange(lanes, dtype=np.int64)
+
+    def emit(low: np.ndarray, width: np.ndarray, used: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        small = (width < _WORD).astype(np.float64)
+        word = np.floor(low * (1 / _WORD))
+        flat[row * cap + used] = word  # stands only if used moves on
+        scale = small * (_WORD - 1) + 1
+        return (low - word * (small * _WORD)) * scale, width * scale, used + small.astype(np.int64)
+
+    ends, live = [], _live(size, most)
+    flat = out.reshape(-1)
     for t in range(most):
-        while size[live - 1] <= t:
-            live -= 1
-        lane, now = np.arange(live), ids[t, :live]
-        model.predict(lane)
-        event = np.where(model.p2 == now, 0, np.where(model.p1 == now, 1, 2))
-        c = model.counts
-        upto = c.cumsum(axis=1, dtype=np.uint32)
-        own = c[lane, event]
-        put(lane, upto[lane, event] - own, own, upto[:, 2])
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            value, base = now[rest].astype(np.int64), rest * _ROWS
-            for k in range(4):
-                row = base + _BASE[k] + (value >> (16 - 4 * k))
-                digit = (value >> (12 - 4 * k)) & 15
-                counts = model.digit[row]
-                upto = counts.cumsum(axis=1, dtype=np.uint16)
-                i = lane[: len(rest)]
-                own = counts[i, digit].astype(np.uint32)
-                put(rest, upto[i, digit] - own, own, upto[:, 15].astype(np.uint32))
-                model.bump(row, digit)
-        model.learn(lane, now, event)
-    for shift in (16, 0):
-        if used.max(initial=0) >= out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, 8), dtype=np.uint16)], axis=1)
-        out[np.arange(lanes), used] = (low >> np.uint32(shift)) & np.uint32(0xFFFF)
-        used += 1
+        n = int(live[t])
+        if n < len(low):
+            ends.append((low[n:], used[n:]))
+            low, width, used, seen, row = low[:n], width[:n], used[:n], seen[:n], row[:n]
+            model.cut(n)
+        if int(used.max()) + 8 > cap:
+            out = np.concatenate([out, np.zeros_like(out)], axis=1)
+            cap, flat = 2 * cap, out.reshape(-1)
+        now, place = ids[t, :n], rank[t, :n].astype(np.float64)
+        p1, p2, counts = model.predict()
+        hit1, hit2, new = p1 == now, p2 == now, place == seen
+        is1, is2 = hit1.view(np.uint8), hit2.view(np.uint8)
+        event = ((new.view(np.uint8) + 2) * (1 - is1) + is1) * (1 - is2)
+        upto, shift = counts * _SUMS, event.astype(np.uint64) << np.uint64(4)
+        unit = np.floor(width / (upto >> _S48).astype(np.float64))
+        low = low + unit * (((upto << _S16) >> shift) & _FIELD).astype(np.float64)
+        width = unit * ((counts >> shift) & _FIELD).astype(np.float64)
+        old = (event == 2).astype(np.float64)
+        width = np.floor(width / ((seen - 1) * old + 1))
+        low = low + width * (place * old)
+        low, width, used = emit(low, width, used, row)
+        who = np.flatnonzero(event == 3)
+        if len(who):
+            for half in (16, 0):
+                some = who[wide[who]] if half else who
+                if len(some):
+                    unit = np.floor(width[some] / _RAW)
+                    low[some], width[some], used[some] = emit(low[some] + unit * ((now[some] >> half) & 0xFFFF), unit, used[some], row[some])
+            seen[who] += 1
+        model.learn(now, hit1, hit2, event)
+    ends.append((low, used))
+    low, used = (np.concatenate([e[k] for e in ends[::-1]]) for k in (0, 1))
     done: list[bytes] = [b""] * lanes
     for lane, k in enumerate(order):
-        done[k] = out[lane, : used[lane]].astype("<u2").tobytes()
+        top = np.floor(low[lane] / _WORD)
+        words = np.append(out[lane, : used[lane]], [top, low[lane] - top * _WORD]).astype(np.int64)
+        carry = np.flatnonzero(words >> 24)
+        while len(carry):  # a carry goes one word back, seldom further
+            words[carry] &= 0xFFFFFF
+            words[carry - 1] += 1
+            carry = carry[words[carry - 1] >> 24 > 0] - 1
+        done[k] = (b"\1" if wide[lane] else b"\0") + words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
     return done
 
 
 def decode(words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The blocks of ids: the reverse of encode."""
+    """The blocks of ids: the reverse of encode. Damaged words give other ids, or ValueError."""
     order = sorted(range(len(words)), key=lambda k: -sizes[k])
-    size = np.asarray([sizes[k] for k in order])
+    size = np.asarray([sizes[k] for k in order], dtype=np.int64)
     lanes, most = len(order), int(size.max(initial=0))
-    got = [np.frombuffer(words[k], dtype="<u2") for k in order]
-    start = np.concatenate([[0], np.cumsum([len(g) for g in got])])[:-1]
-    flat = np.concatenate([*got, np.zeros(4, dtype=np.uint16)]).astype(np.uint32)
-    model = _Model(lanes)
-    at = start + 2
-    code, width = (flat[start] << _HALF) | flat[start + 1], np.full(lanes, 0xFFFFFFFF, dtype=np.uint32)
-    ids = np.zeros((most, lanes), dtype=np.uint16)
-
-    def take(lane: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        upto = counts.cumsum(axis=1, dtype=np.uint16)  # event and digit counts sum to less than 65,536
-        total = upto[:, -1]
-        unit = width[lane] // total
-        c = code[lane]
-        place = np.minimum(c // unit, total - 1).astype(np.uint16)
-        found = (upto <= place[:, None]).sum(axis=1)
-        i = np.arange(len(lane))
-        own = counts[i, found].astype(np.uint32)
-        c -= unit * (upto[i, found] - own)
-        w = unit * own
-        short = np.flatnonzero(w < 0x10000)
-        if len(short):
-            who = lane[short]
-            c[short] = (c[short] << _HALF) | flat[np.minimum(at[who], len(flat) - 1)]
-            at[who] += 1
-            w[short] <<= _HALF
-        code[lane], width[lane] = c, w
-        return found
-
-    live = lanes
+    if most > MOST or any(len(w) % 3 != 1 for w in words):
+        raise ValueError("not a block")
+    wide = np.asarray([words[k][:1] == b"\1" for k in order], dtype=bool)
+    n_words = np.asarray([len(words[k]) // 3 for k in order], dtype=np.int64)
+    packed = np.frombuffer(b"".join(words[k][1:] for k in order) + bytes(9), dtype=np.uint8).reshape(-1, 3).astype(np.float64)
+    flat = packed[:, 0] + packed[:, 1] * 256 + packed[:, 2] * 65536
+    at = np.cumsum(n_words) - n_words
+    last = len(flat) - 1
+    model, seen = _Model(lanes), np.zeros(lanes)
+    code, width, at = flat[at] * _WORD + flat[at + 1], np.full(lanes, _WORD * _WORD), at + 2
+    ids, listed = np.zeros((most, lanes), dtype=np.uint32), np.zeros(lanes * MOST, dtype=np.uint32)
+    base = np.arange(lanes, dtype=np.int64) * MOST
+
+    def refill(code: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        small = (width < _WORD).astype(np.float64)
+        scale = small * (_WORD - 1) + 1
+        return code * scale + small * flat[np.minimum(at, last)], width * scale, at + small.astype(np.int64)
+
+    live = _live(size, most)
     for t in range(most):
-        while size[live - 1] <= t:
-            live -= 1
-        lane = np.arange(live)
-        model.predict(lane)
-        event = take(lane, model.counts)
-        now = np.where(event == 0, model.p2, model.p1)
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            value, base = np.zeros(len(rest), dtype=np.int64), rest * _ROWS
-            for k in range(4):
-                row = base + _BASE[k] + value
-                digit = take(rest, model.digit[row])
-                model.bump(row, digit)
-                value = value * 16 + digit
-            now[rest] = value
-        ids[t, :live] = now
-        model.learn(lane, now, event)
+        n = int(live[t])
+        if n < len(code):
+            code, width, at, seen, base = code[:n], width[:n], at[:n], seen[:n], base[:n]
+            model.cut(n)
+        p1, p2, counts = model.predict()
+        upto = counts * _SUMS
+        unit = np.floor(width / (upto >> _S48).astype(np.float64))
+        b0, b1, b2 = (unit * ((upto >> s) & _FIELD).astype(np.float64) for s in (np.uint64(0), _S16, _S32))
+        g0, g1, g2 = ((code >= b).view(np.uint8) for b in (b0, b1, b2))
+        event = g0 + g1 + g2
+        shift = event.astype(np.uint64) << np.uint64(4)
+        code = code - unit * (((upto << _S16) >> shift) & _FIELD).astype(np.float64)
+        width = unit * ((counts >> shift) & _FIELD).astype(np.float64)
+        old = (event == 2).astype(np.float64)
+        width = np.floor(width / np.maximum((seen - 1) * old + 1, 1.0))
+        place = np.floor(code / width) * old
+        code = code - width * place
+        code, width, at = refill(code, width, at)
+        # Products of 0 and 1 choose: unsigned numbers wrap, so that a + (b - a) is b.
+        now = p2 + (p1 - p2) * g0
+        now += (listed[base + np.minimum(place, MOST - 1).astype(np.int64)] - now) * (event == 2)
+        who = np.flatnonzero(g2)
+        if len(who):
+            value = np.zeros(len(who))
+            for half in (16, 0):
+                pick = np.flatnonzero(wide[who]) if half else np.arange(len(who))
+                if len(pick):
+                    some = who[pick]
+                    unit = np.floor(width[some] / _RAW)
+                    digit = np.minimum(np.floor(code[some] / unit), _RAW - 1)
+                    code[some], width[some], at[some] = refill(code[some] - unit * digit, unit, at[some])
+                    value[pick] = value[pick] * _RAW + digit
+            now[who] = value.astype(np.uint32)
+            listed[base[who] + np.minimum(seen[who], MOST - 1).astype(np.int64)] = now[who]
+            seen[who] += 1
+        ids[t, :n] = now
+        model.learn(now, p1 == now, p2 == now, event)
     done: list[np.ndarray] = [ids[:0, 0]] * lanes
     for lane, k in enumerate(order):
         done[k] = ids[: size[lane], lane].copy()

@@ -6,16 +6,20 @@ lengths. Spark's committer publishes the records' table, so a retried task leave
 
 Record layout, little-endian: magic `LFB1` (block) or `LFI1` (index), u32 count, u32 crc32 of the plain
 content, u32 crc32 of the payload, payload. A block's plain content is its ids as u32; an index
-record's is the ids of documents as i64, then their lengths as u64, and its payload is that content.
+record's is the ids of documents as i64, their lengths as u64, and a byte each that is 1 where the id is
+null (and 0 in its place), and its payload is that content.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,72 +32,112 @@ from lithoframe.llm.common import shared_folder, staged
 from lithoframe.llm.groups import bounds, runs
 from lithoframe.llm.range_coder import decode, encode
 
-#: Ids of a block at most and at least, blocks coded in step, characters of a shard about, words whose
-#: ids a worker remembers.
-BLOCK, LEAST_BLOCK, LANES, SHARD_CHARS, REMEMBERED = 4096, 256, 2048, 16 << 20, 700_000
+#: Ids of a block, blocks coded in step, characters of a shard about, words whose ids a worker remembers,
+#: characters of the texts that are looked up at once.
+BLOCK, LANES, SHARD_CHARS, REMEMBERED, PIECE = 4096, 4096, 64 << 20, 1_200_000, 1 << 19
 END = 2
 HEAD = struct.Struct("<4sIII")
 SCHEMA = "shard int, kind int, seq int, record binary"
 
-_SPACES = str.maketrans("\t\n\r\v\f", "     ")
+# The normalizer and the split of a tokenizer that can be fed word by word. It never joins over
+# white space, and a run of letters is one piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Letters that neither composition nor lower case can change the number of, then ASCII marks (no apostrophe, none of special tokens).
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([!-&(-/:;=?@\\[-`{}~]*)")
+
+
+class _Numbers(dict):
+    """Word -> its number; unknown words are learnt when asked for."""
+
+    def __init__(self, learn: Callable[[str], int]) -> None:
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
 
 
 class WordEncoder:
-    """Ids of whole texts, by a library tokenizer whose vocabulary doesn't reach across white space.
+    """Ids of whole texts by a library tokenizer.
 
-    Words between ASCII white space are encoded by the library once and remembered; the ids of a text
-    are those of its words in order.
+    If its file names the split above, words between ASCII white space are encoded once and remembered,
+    and the ids of a text are those of its words in order. A word of letters is one piece to the library's
+    model. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library, self.remembered = Tokenizer.from_file(path), remembered
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_words = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not told["post_processor"]
+        self.model, self.bytes = self.library.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.used = 0
-        self.start, self.size = np.zeros(self.remembered + 1, dtype=np.int64), np.zeros(self.remembered + 1, dtype=np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 8192):
-            some = words[a : a + 8192]
-            found = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(size.sum()))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), dtype=np.uint32)])
-            n = len(self.number)
-            if n + len(some) > len(self.start):
-                more = np.zeros(max(len(self.start), len(some)), dtype=np.int64)
-                self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.start[n : n + len(some)] = self.used + np.cumsum(size) - size
-            self.size[n : n + len(some)] = size
-            self.number.update(zip(some, range(n, n + len(some)), strict=True))
-            self.used += len(flat)
+        self.number, self.ids, self.start = _Numbers(self._learn), array("I"), array("q", [0])
+        self._keep("", [])
+
+    def _keep(self, word: str, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.start.append(len(self.ids))
+        self.number[word] = n = len(self.start) - 2
+        return n
+
+    def _learn(self, word: str) -> int:
+        m = LETTERS.fullmatch(word)
+        if not m:
+            return self._keep(word, self.library.encode(word, add_special_tokens=False).ids)
+        run, marks = m[1].lower(), m[2]
+        if run == word:
+            piece = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            return self._keep(word, [t.id for t in self.model.tokenize(piece)])
+        ids = []
+        for part in (run, marks):
+            n = self.number[part]
+            ids += self.ids[self.start[n] : self.start[n + 1]]
+        return self._keep(word, ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text with END."""
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and size < PIECE:
+                size += len(texts[b] or "")
+                b += 1
+            yield from self._some([t or "" for t in texts[a:b]])
+            a = b
+
+    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.by_words:
+            for e in self.library.encode_batch(texts, add_special_tokens=False):
+                yield np.asarray([*e.ids, END], dtype=np.uint32)
+            return
+        if len(self.number) > self.remembered:
+            self._forget()
+        words, count = [], []
         for text in texts:
-            words = (text or "").translate(_SPACES).split(" ") if text else []
-            new = set(words).difference(self.number)
-            if new:
-                if len(self.number) + len(new) > self.remembered:
-                    self._forget()
-                    new = set(words) - {""}
-                self._learn(sorted(new))
-            k = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            size = self.size[k]
-            upto = np.cumsum(size)
-            total = int(upto[-1]) if len(upto) else 0
-            out = np.empty(total + 1, dtype=np.uint32)
-            out[:total] = self.ids[np.arange(total) + np.repeat(self.start[k] - (upto - size), size)]
-            out[total] = END
-            yield out
+            for space in "\t\n\r\v\f":
+                if space in text:
+                    text = text.replace(space, " ")
+            mine = text.split(" ")
+            words += mine
+            count.append(len(mine))
+        k = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        start, ids = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.ids or array("I", [0]), dtype=np.uint32)
+        first = start[k]
+        size = start[k + 1] - first
+        upto = np.cumsum(size)
+        flat = ids[np.arange(upto[-1]) + np.repeat(first - (upto - size), size)]
+        ends = upto[np.cumsum(count) - 1]
+        del start, ids  # the arrays can't grow while they are looked at
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            yield np.append(flat[lo:hi], np.uint32(END))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -122,8 +166,8 @@ def opened(data: bytes, magic: bytes) -> tuple[int, int, bytes]:
 def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
     """Write every whole text's ids and END to folder, in ascending order of the id.
 
-    Null is the empty text. Ids of documents must not be null; rows that repeat one follow each other.
-    The number of shards follows the characters of all texts. Ids must be below 65,536.
+    Null is the empty text. Rows with a null id come first; rows that repeat an id are dealt and ordered by
+    a hash of the text, then by the text, so that reruns agree. The number of shards follows the characters of all texts.
     """
     if shards is None:
         chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first().n
@@ -141,11 +185,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
             full = LANES * BLOCK
             while len(ids) >= full or all_of_it and len(ids):
                 some, ids = ids[:full], ids[full:]
-                if some.max() > 0xFFFF:
-                    raise ValueError("ids over 65,535 don't fit the format")
-                size = BLOCK if len(some) == full else min(BLOCK, max(LEAST_BLOCK, -(-len(some) // 512)))
-                blocks = [some[a : a + size] for a in range(0, len(some), size)]
-                coded = encode([b.astype(np.uint16) for b in blocks])
+                blocks = [some[a : a + BLOCK] for a in range(0, len(some), BLOCK)]
+                coded = encode(blocks)
                 records = [record(b"LFB1", len(b), b.astype("<u4").tobytes(), c) for b, c in zip(blocks, coded, strict=True)]
                 for a in range(0, len(records), 256):
                     part = records[a : a + 256]
@@ -166,12 +207,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
                 if waiting >= LANES * BLOCK:
                     yield from flush(False)
             if sizes:
-                plain = b.column("doc_id").to_numpy().astype("<i8").tobytes() + np.asarray(sizes).astype("<u8").tobytes()
+                doc, null = b.column("doc_id").fill_null(0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                plain = doc.astype("<i8").tobytes() + np.asarray(sizes).astype("<u8").tobytes() + null.astype(np.uint8).tobytes()
                 yield batch(0, range(n, n + 1), [record(b"LFI1", len(sizes), plain, plain)])
         yield from flush(True)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(code, SCHEMA).write.parquet(folder)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order).mapInArrow(code, SCHEMA).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,14 +232,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def shard_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         kinds, shard = t.column("kind").to_numpy(), t.column("shard")[0].as_py()
         split = int((kinds == 0).sum())
-        ids, sizes = [], []
+        ids, sizes, nulls = [], [], []
         for data in t.column("record").slice(0, split).to_pylist():
             count, crc, plain = opened(data, b"LFI1")
             if zlib.crc32(plain) != crc:
                 raise ValueError("damaged index")
             ids.append(np.frombuffer(plain, dtype="<i8", count=count))
-            sizes.append(np.frombuffer(plain, dtype="<u8", offset=8 * count).astype(np.int64))
-        docs, size = np.concatenate(ids), np.concatenate(sizes)
+            sizes.append(np.frombuffer(plain, dtype="<u8", offset=8 * count, count=count).astype(np.int64))
+            nulls.append(np.frombuffer(plain, dtype=np.uint8, offset=16 * count, count=count) > 0)
+        docs, size, null = np.concatenate(ids), np.concatenate(sizes), np.concatenate(nulls)
         ends, crcs, k, at, crc = np.cumsum(size), np.zeros(len(docs), dtype=np.int64), 0, 0, 0
         for a in range(split, t.num_rows, LANES):
             heads = [opened(data, b"LFB1") for data in t.column("record").slice(a, min(LANES, t.num_rows - a)).to_pylist()]
@@ -214,7 +258,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 at += len(block)
         if k < len(docs) or at != (ends[-1] if len(ends) else 0):
             raise ValueError("missing block")
-        yield pa.record_batch({"shard": pa.array(np.full(len(docs), shard, dtype=np.int32)), "doc_id": pa.array(docs), "at": pa.array(ends - size), "n_tokens": pa.array(size), "ids_crc32": pa.array(crcs)})
+        yield pa.record_batch({"shard": pa.array(np.full(len(docs), shard, dtype=np.int32)), "doc_id": pa.array(docs, mask=null), "at": pa.array(ends - size), "n_tokens": pa.array(size), "ids_crc32": pa.array(crcs)})
 
     table = spark.read.schema(SCHEMA).parquet(folder)
     return table.repartition("shard").sortWithinPartitions("shard", "kind", "seq").mapInArrow(open_all, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
@@ -224,7 +268,8 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """Write docs' ids to folder (a new one in the shared folder) and read them back: one row per row of docs.
 
     doc_id, start (ids of all documents before it, in ascending order of the id), n_tokens (END
-    included), ids_crc32. An empty table gives no rows; extra columns don't matter.
+    included), ids_crc32. Null texts are empty; rows with a null id come first; of one id, the row whose text has
+    the smaller hash. Extra columns don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
     if folder is None:

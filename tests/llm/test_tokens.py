@@ -17,20 +17,23 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 65_535)), max_size=60), min_size=1, max_size=6))
+@given(st.lists(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 0x7FFFFFFE)), max_size=60), min_size=1, max_size=6))
 def test_codec(blocks):
-    blocks = [np.asarray(b, dtype=np.uint16) for b in blocks]
+    blocks = [np.asarray(b, dtype=np.uint32) for b in blocks]
     got = decode(encode(blocks), [len(b) for b in blocks])
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, got, strict=True))
 
 
 def test_codec_blocks_alone_and_small():
     rng = np.random.default_rng(1)
-    blocks = [rng.zipf(1.5, n).clip(0, 49_000).astype(np.uint16) for n in (3000, 5, 1200)] + [np.tile(np.arange(40, dtype=np.uint16), 60), np.full(4000, 65_535, dtype=np.uint16)]
+    blocks = [rng.zipf(1.5, n).clip(0, 49_000).astype(np.uint16) for n in (3000, 5, 1200)] + [np.tile(np.arange(40, dtype=np.uint16), 60), np.full(4000, 0x7FFFFFFE), rng.integers(0, 0x7FFFFFFF, 4096), np.arange(4096)]
     words = encode(blocks)
     for w, b in zip(words, blocks, strict=True):
         assert (decode([w], [len(b)])[0] == b).all() and w == encode([b])[0]
-    assert len(words[3]) < 0.5 * 2 * len(blocks[3]) and len(words[4]) < 200
+    assert len(words[3]) < 0.5 * 2 * len(blocks[3]) and len(words[4]) < 260
+    for bad in (np.arange(4097), np.asarray([0x7FFFFFFF])):
+        with pytest.raises(ValueError):
+            encode([bad])
 
 
 TEXTS = ["Hello  World's the\tcat\n", None, "", "  ", "ÀÉ ß 한국어 <|endoftext|> x<|startoftext|>y", "a b  c\x1cd \x85e", "é ́x 123 don't!!", "x" * 30_000, "İ Σς \U0001f600 \x00", "the cat " * 3000]
@@ -54,6 +57,20 @@ def test_words_equal_whole_texts(library):
         assert [g.tolist() for g in got] == [ids_of(library, t) for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    coder = token_binary.WordEncoder(path)
+    assert not coder.by_words and [g.tolist() for g in coder(TEXTS)] == [ids_of(library, t) for t in TEXTS]
+
+
+def test_words_equal_whole_documents(library, data):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert [g.tolist() for g in token_binary.WordEncoder(PATH)(texts)] == [ids_of(library, t) for t in texts]
+
+
 def test_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(token_binary, "SHARD_CHARS", 9000)
     rows = [(7 * i % 1000, t, 1, "s") for i, t in enumerate(TEXTS * 2)]
@@ -66,6 +83,11 @@ def test_round_trip(spark, library, monkeypatch):
 
 
 def test_empty_and_repeated(spark):
+    df = spark.createDataFrame([(5, "x"), (None, "a b c"), (5, "y z"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id is not None, r.start, r.n_tokens) for r in token_binary.round_trip(df, PATH).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [False, False, True, True] and sorted(r[2] for r in got) == [1, 2, 3, 4] and got[3][1] + got[3][2] == 10
+    again = token_binary.round_trip(df.repartition(3, "text"), PATH)
+    assert sorted(map(str, again.collect())) == sorted(map(str, token_binary.round_trip(df, PATH).collect()))
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (0, None)], "doc_id long, text string")
     assert token_binary.round_trip(df.limit(0), PATH).count() == 0
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in token_binary.round_trip(df, PATH).collect()) == [(0, 0, 1), (1, 1, 3), (1, 4, 3)]
