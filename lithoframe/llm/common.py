@@ -43,7 +43,28 @@ def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_folder(spark)}/lithoframe/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let the executors drop the shuffle files behind them."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if tables:
+        jvm.System.gc()  # Spark's cleaner removes the files of shuffles that are no longer referred to
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name with a number, such that no column is called that (case doesn't matter to Spark)."""
+    have, out, k = {c.lower() for c in columns}, name, 0
+    while out.lower() in have:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ from lithoframe.llm.groups import Forest, bounds, runs, spread
 TILE = ["cell", "other", "tile_i", "tile_j"]
 #: Lengths of vectors at most: each length is compared apart.
 MAX_LENGTHS = 64
-#: Vectors that fit the centroids at most, cells at most, vectors of a cell about, vectors of a block.
-SAMPLE, MAX_CELLS, CELL_ROWS, BLOCK = 16_384, 8_192, 1_024, 1_024
+#: Vectors that fit the centroids at most, cells at most and (while they hold some vectors each) at least,
+#: vectors of a cell about, vectors of a block.
+SAMPLE, MAX_CELLS, LEAST_CELLS, CELL_ROWS, BLOCK = 16_384, 8_192, 8, 1_024, 1_024
 #: Distance from a border by which rounding may err.
 SLACK = 1e-7
 
@@ -55,8 +56,10 @@ def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector
 
     Links are all pairs of rows with cosine >= threshold, in double precision. n_links counts the other rows linked directly;
     component_id is the smallest id reachable. Vectors that are null, empty, zero or hold null or
-    non-finite components link with nothing, and neither do vectors of unequal length. Rows with equal
-    ids and vectors count as separate rows; ids must not be null. An empty table gives no rows.
+    non-finite components link with nothing, and neither do vectors of unequal length. Rows that repeat an id,
+    with the same vector or another, are separate rows. Rows with a null id are linked and counted as any;
+    they are kept only where component_id is null, as no row of the component has an id. Extra columns don't
+    matter; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -64,18 +67,20 @@ def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector
     fine = fine & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.filter(F.col("v").isNotNull() & fine)
     hashed = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    distinct = staged(hashed.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "emb-distinct")
+    distinct = hashed.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("rep"), "v", "least", "copies"), "emb-distinct")  # numbered: ids may repeat
     parts = []
     lengths = distinct.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LENGTHS + 1).collect()
     if len(lengths) > MAX_LENGTHS:
         raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
     for dim, n in sorted((int(r.d), int(r.n)) for r in lengths):
         part = distinct.filter(F.size("v") == dim)
-        k = min(MAX_CELLS, n // cell_rows)
+        k = min(MAX_CELLS, max(n // cell_rows, min(LEAST_CELLS, n // 4)))
         centroids = np.zeros((1, dim))
         if k > 1:
-            picked = part.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).select("rep", "v").toPandas().sort_values("rep")
+            picked = part.filter(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).select("v").toPandas()
             x = np.stack(picked["v"].to_numpy()).astype(np.float64) if len(picked) else np.ones((1, dim))
+            x = x[np.lexsort(x.T)]  # the same whatever order rows come in
             x = x / np.abs(x).max(axis=1, keepdims=True)
             centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), k, seed=seed)
         parts.append(_links_of(part, dim, centroids, threshold))
@@ -87,12 +92,14 @@ def link(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector
     found = staged(found, "emb-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = distinct.select("v", "rep", "copies").join(counts, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    told = told.select("v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    components = components.withColumnRenamed("id", "rep")
+    smallest = components.join(distinct.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("first"))
+    told = distinct.select("v", "rep", "least", "copies").join(counts, "rep", "left").join(components.join(smallest, "component"), "rep", "left")
+    told = told.select("v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("least")).alias("component"))
     told = staged(told, "emb-told")
     mine = hashed.join(told, "v").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
     rest = rows.filter(F.col("v").isNull() | ~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return mine.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return mine.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def near_cells(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,15 @@
 """Exact duplicates by 128-bit content hash, with bytes compared inside the groups.
 
-Built-in expressions only. Distinct texts are shuffled once: the aggregate's keys are the hash and
-the text itself, so equality is of bytes, and copies collapse before the shuffle, however many.
-What comes back to the rows is digests and ids.
+Built-in expressions only. The aggregate's keys are the hash and the text itself, so equality is of
+bytes, and copies collapse before the shuffle, however many. Texts are shuffled once: duplicate_groups
+joins back digests and ids only, and drop_duplicates takes the other columns along in the aggregate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithoframe.llm.common import staged, text_or_empty
 
@@ -42,12 +43,33 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are not kept; columns and their order stay.
+    """docs with one row of each group of equal texts: that of the largest key; columns and their order stay.
 
-    Only ids are joined back. Repeats of one id with the same text collapse to one row; the result
-    for ids that occur with several texts follows each (id, text) pair.
+    Null is the empty text, but the row that stays keeps its null. Of rows that share the largest key, the
+    one whose other columns are the largest, in their order, stays, so reruns agree (columns without an order,
+    as maps, go with it). A null key is smaller than any other. The columns' names are not looked at, so any
+    may occur, even twice beside key and text; an empty table gives no rows.
     """
-    kept = duplicate_groups(docs, key, text).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_digest", F.sha2(text_or_empty(text), 256))
-    return marked.join(kept, F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_sha")), "left_semi").select(*docs.columns)
+    names, at = docs.columns, docs.columns.index
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    k, t = f"c{at(key)}", f"c{at(text)}"
+    rest = [c for c in rows.columns if c not in (k, t)]
+    first = [c for c in rest if _orderable(rows.schema[c].dataType)]
+    other = [c for c in rest if c not in first]
+    rank = F.struct(k, "told", *first)
+    best = F.max(rank) if not other else F.max_by(F.struct(rank.alias("rank"), *other), rank)
+    bodies = rows.select(k, *rest, F.col(t).isNotNull().alias("told"), text_or_empty(t).alias("body")).withColumn("h", F.md5("body"))
+    kept = bodies.groupBy("h", "body").agg(best.alias("best"))
+    whole = "best.rank" if other else "best"
+    own = {k: F.col(f"{whole}.{k}"), t: F.when(F.col(f"{whole}.told"), F.col("body"))}
+    own |= {c: F.col(f"{whole}.{c}") for c in first} | {c: F.col(f"best.{c}") for c in other}
+    return kept.select(*[own[c].alias(n) for c, n in zip(rows.columns, names, strict=True)])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import staged, word_count
+from lithoframe.llm.common import WORD, staged, unused, word_count
 
 #: Blocks of a source at most, and documents of a block at least.
 MAX_BLOCKS, BLOCK_DOCS = 4096, 64
@@ -62,8 +62,8 @@ def splitting_tree(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _by_source(docs: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, list]:
-    """Rows with their sizes; and the sources in code-point order, null last."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("src"), word_count(text).alias("size"))
+    """Rows with their sizes, counted once; and the sources in code-point order, null last."""
+    rows = staged(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("src"), word_count(text).alias("size")), "mix-sizes")
     found = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -72,12 +72,12 @@ def _by_source(docs: DataFrame, key: str, text: str, source: str) -> tuple[DataF
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20, split_documents: bool = True, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, src, size, source_size, target, taken, times, part, block.
+    """One row per row of docs: doc_id, src, size, source_size, target, times, part, block, k, h.
 
-    size is the number of words (null text: 0). times is how often the whole document is drawn and
+    size is the number of words (null text: 0). times is how often the whole document is to be drawn and
     part the leading words drawn once more of the one document in which a source's target falls
-    (split_documents), else that document is drawn when this comes nearer to the target. taken is
-    size * times + part. Sources take the weights in turn in code-point order, a null source last.
+    (split_documents), else that document is drawn when this comes nearer to the target.
+    Sources take the weights in turn in code-point order, a null source last.
     Rows with equal id, source and size share one decision, so rerunning gives the same rows. Empty
     documents have nothing to take; an empty table gives no rows.
     """
@@ -107,35 +107,63 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     edge = edge.select(*rows.columns, extra.alias("extra"), part.alias("part"))
     rest = rows.filter("not at_edge").select("*", F.col("all_in").cast("int").alias("extra"), F.lit(0).cast("long").alias("part"))
     out = rest.unionByName(edge)
-    times = F.col("whole") + F.col("extra")
-    return out.select("doc_id", "src", "size", "source_size", "target", (F.col("size") * times + F.col("part")).alias("taken"), times.alias("times"), "part", "block", "k", "h")
+    return out.select("doc_id", "src", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("times"), "part", "block", "k", "h")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20, shards: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of docs as often as drawn, with docs' columns and _shard, _order.
+def draw(planned: DataFrame, seed: int = 20, shards: int | None = None) -> DataFrame:
+    """What the shards hold: (doc_id, src, size, pass, block, words, shard, place), a row for each draw of a distinct plan row.
 
-    Whole documents only (plan with split_documents=False), each at most ceiling times; empty ones
-    are never drawn. Rows of a shard are shuffled when sorted by _order. Rows with equal id, source
-    and size are drawn together. The number of shards follows the words drawn, unless it is given. An
-    empty table gives no rows.
+    words is size, or part for the leading words. A block of a source is drawn once in each pass that takes any
+    of it; the draws of a source, by pass and permuted block, are cut into runs of the lengths that the tree gave
+    the shards. Sorted by place, a shard is shuffled. The number of shards follows the words drawn, unless it
+    is given.
     """
-    spark = docs.sparkSession
-    ids = plan(docs, weights, share, ceiling, seed, False, key, text, source)
-    ids = ids.filter("times > 0 and size > 0").select("doc_id", "src", "size", "k", "block", "h", "times").distinct()
-    drawn = staged(ids.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass")), "mix-drawn")
-    used = drawn.groupBy("k", "pass", "block").count()
-    runs = staged(used.select("k", "pass", "block", F.row_number().over(W.partitionBy("k").orderBy("pass", "block")).alias("j")), "mix-runs")
+    spark = planned.sparkSession
+    ids = planned.filter("size > 0 and times + part > 0").select("doc_id", "src", "size", "k", "block", "h", "times", "part").distinct()
+    last = F.col("times") + (F.col("part") > 0).cast("int") - 1
+    drawn = ids.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass"))
+    drawn = staged(drawn.withColumn("words", F.when(F.col("pass") < F.col("times"), F.col("size")).otherwise(F.col("part"))).drop("times", "part"), "mix-drawn")
+    used = drawn.groupBy("k", "pass", "block").agg(F.sum("words").alias("words"))
+    runs = staged(used.select("k", "pass", "block", "words", F.row_number().over(W.partitionBy("k").orderBy("pass", "block")).alias("j")), "mix-runs")  # MAX_BLOCKS a pass at most
+    count = sorted((r.k, int(r.n), int(r.words)) for r in runs.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).collect())
     if shards is None:
-        words = drawn.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-        sources = drawn.agg(F.max("k").alias("k")).first().k or 0
-        shards = max(1, min(-(-int(words) // SHARD_WORDS), MAX_SHARDS, MAX_QUOTAS // (sources + 1)))
-    count = sorted((r.k, int(r.n)) for r in runs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())
-    split = splitting_tree([n for _, n in count], shards, seed)
-    ends = split.cumsum(axis=0)
-    bounds = [(k, s, int(ends[s, c] - split[s, c]), int(ends[s, c])) for c, (k, _) in enumerate(count) for s in range(shards) if split[s, c]]
-    shard = spark.createDataFrame(bounds, "k int, _shard int, lo long, hi long")
-    runs = runs.join(F.broadcast(shard), (runs.k == shard.k) & (runs.j > shard.lo) & (runs.j <= shard.hi)).select(runs.k, "pass", "block", "_shard")
-    placed = drawn.join(runs, ["k", "pass", "block"]).select(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), "_shard", F.xxhash64("h", "pass", F.lit(seed)).alias("_order"))
-    own = docs.withColumn("_words", word_count(text))
-    same = own[key].eqNullSafe(placed["_id"]) & own[source].eqNullSafe(placed["_src"]) & (own["_words"] == placed["_size"])
-    return own.join(placed, same).select(*[own[c] for c in docs.columns], "_shard", "_order")
+        shards = max(1, min(-(-sum(c[2] for c in count) // SHARD_WORDS), MAX_SHARDS, MAX_QUOTAS // max(1, len(count))))
+    split = splitting_tree([n for _, n, _ in count], shards, seed)
+    quotas = [(k, split[:, c].tolist()) for c, (k, _, _) in enumerate(count)]
+    dealt = spark.createDataFrame(quotas, "k int, quotas array<long>").select("k", F.posexplode("quotas").alias("shard", "n")).filter("n > 0")
+    dealt = dealt.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy("shard")))
+    dealt = dealt.select("k", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("j"))
+    runs = runs.join(dealt, ["k", "j"]).select("k", "pass", "block", "shard")
+    return drawn.join(runs, ["k", "pass", "block"]).select("doc_id", "src", "size", "pass", "block", "words", "shard", F.xxhash64("h", "pass", F.lit(seed)).alias("place"))
+
+
+def tally(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """One row per row of docs: doc_id, src, size, source_size, target, taken (words that the drawn shards hold of it).
+
+    The target is met to the word: the document in which it falls is drawn in part. A row without draws has 0.
+    Rows with equal id, source and size have equal draws; an empty table gives no rows.
+    """
+    planned = staged(plan(docs, key=key, text=text, source=source, **options), "mix-plan")
+    held = draw(planned).groupBy("doc_id", "src", "size").agg(F.sum("words").alias("taken"))
+    same = planned.doc_id.eqNullSafe(held.doc_id) & planned.src.eqNullSafe(held.src) & (planned["size"] == held["size"])
+    return planned.join(held, same, "left").select(planned.doc_id, planned.src, planned["size"], "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20, shards: int | None = None, split_documents: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: rows of docs as often as drawn, with docs' columns and two more, shard and place.
+
+    They are called _shard and _place, with a number if docs has such columns. Whole documents, each at most
+    ceiling times; with split_documents the one in which a source's target falls comes once with its leading
+    words only, joined by blanks. Empty documents are never drawn. Rows of a shard are shuffled when sorted by
+    place. Rows with equal id, source and size are drawn together. An empty table gives no rows.
+    """
+    drawn = draw(plan(docs, weights, share, ceiling, seed, split_documents, key, text, source), seed, shards)
+    names, at = docs.columns, docs.columns.index
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    k, t, s = f"c{at(key)}", f"c{at(text)}", f"c{at(source)}"
+    own = own.withColumn("own_size", word_count(t))
+    same = own[k].eqNullSafe(drawn["doc_id"]) & own[s].cast("string").eqNullSafe(drawn["src"]) & (own["own_size"] == drawn["size"])
+    leading = F.array_join(F.expr(f"slice(regexp_extract_all({t}, '{WORD.replace(chr(92), chr(92) * 2)}', 0), 1, cast(words as int))"), " ")
+    body = F.when(F.col("words") < F.col("size"), leading).otherwise(F.col(t)) if split_documents else F.col(t)
+    columns = [(body if c == t else F.col(c)).alias(n) for c, n in zip(own.columns[:-1], names, strict=True)]
+    return own.join(drawn, same).select(*columns, F.col("shard").alias(unused("_shard", names)), F.col("place").alias(unused("_place", names)))

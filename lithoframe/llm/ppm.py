@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import staged
+from lithoframe.llm.common import discard, staged
 from lithoframe.llm.groups import bounds, runs
 
 #: Longest context in bytes (6 at most), bits of a symbol, symbol that ends a text, symbols that can be coded.
@@ -58,12 +58,13 @@ def chunked(texts: DataFrame, size: int = CHUNK) -> DataFrame:
             np.take(_LOWER, body, out=body)
             starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
             binary = pa.array([zstandard.compress(body, 3)], pa.binary())
-            return pa.record_batch({"chunk": pa.array([n]), "ids": pa.array([np.concatenate(ids)], pa.list_(pa.int64())), "held": pa.array([np.concatenate(held)], pa.list_(pa.bool_())), "starts": pa.array([starts], pa.list_(pa.int64())), "body": binary})
+            return pa.record_batch({"chunk": pa.array([n]), "ids": pa.ListArray.from_arrays(pa.array([0, len(starts) - 1], pa.int32()), pa.concat_arrays(ids)), "held": pa.array([np.concatenate(held)], pa.list_(pa.bool_())), "starts": pa.array([starts], pa.list_(pa.int64())), "body": binary})
 
         for b in batches:
-            at = np.frombuffer(b.column("text").buffers()[1], dtype=np.int32)[b.column("text").offset :][: b.num_rows + 1]
+            long_ = pa.types.is_large_string(b.column("text").type)
+            at = np.frombuffer(b.column("text").buffers()[1], dtype=np.int64 if long_ else np.int32)[b.column("text").offset :][: b.num_rows + 1]
             flat = np.frombuffer(b.column("text").buffers()[2] or b"", dtype=np.uint8)
-            doc, out_ = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("held").to_numpy(zero_copy_only=False)
+            doc, out_ = b.column("doc_id"), b.column("held").to_numpy(zero_copy_only=False)
             lo = 0
             while lo < b.num_rows:
                 hi = int(np.searchsorted(at, at[lo] + max(0, size - room), side="right")) - 1
@@ -74,7 +75,7 @@ def chunked(texts: DataFrame, size: int = CHUNK) -> DataFrame:
                         continue
                     hi = lo + 1
                 hi = min(hi, b.num_rows)
-                ids.append(doc[lo:hi])
+                ids.append(doc.slice(lo, hi - lo))
                 held.append(out_[lo:hi])
                 sizes.append(np.diff(at[lo : hi + 1]))
                 parts.append(flat[at[lo] : at[hi]].copy())
@@ -223,7 +224,8 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
         log_n = F.log10(F.col("n").cast("double"))
         logp = F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) - log_n).when(F.col("q") > 0, F.log10(DISCOUNT * F.col("q")) - log_n + F.col("low")).otherwise(F.col("shorter"))
         rows = rows.withColumn("logp", logp)
-        below = staged(rows.select("key", "logp") if k == order else rows.select("key", "c", "n", "q", "low", "logp"), f"ppm-order-{k}")
+        shorter, below = below, staged(rows.select("key", "logp") if k == order else rows.select("key", "c", "n", "q", "low", "logp"), f"ppm-order-{k}")
+        discard(*([at[k]] if k < order else []), *([shorter] if k else []))
     return below.select(F.col("key").alias("entry"), "logp")
 
 
@@ -286,15 +288,17 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     held = F.coalesce(held, F.lit(False))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = staged(chunked(texts, chunk), "ppm-chunks")
-    words = staged(_dictionary(chunks, "word", order), "ppm-words", "gzip")
-    grams = staged(_dictionary(chunks, "gram", order), "ppm-grams", "gzip")
+    words = staged(_dictionary(chunks, "word", order), "ppm-words")
+    grams = staged(_dictionary(chunks, "gram", order), "ppm-grams")
     vocabulary = staged(words.groupBy("entry").agg(F.sum("n").alias("c")), "ppm-vocabulary")
     ends = int(texts.filter(~F.col("held")).count())
     seen = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(seen.n) + ends, int(seen.v) + (ends > 0)
     below = np.log10(total + 0.5 * (distinct + 1))
     base_end = float(np.log10(ends + 0.5) - below)
-    lengths = code_lengths(staged(grams.groupBy("entry").agg(F.sum("n").alias("n")), "ppm-trie"), order)
+    trie = staged(grams.groupBy("entry").agg(F.sum("n").alias("n")), "ppm-trie")
+    lengths = code_lengths(trie, order)
+    discard(trie)
     told_words = _packed(words.select("chunk", "idx", "entry").join(vocabulary, "entry").select("chunk", "idx", F.col("c").cast("double").alias("value")), 1)
     told_grams = _packed(grams.select("chunk", "idx", "entry").join(lengths, "entry").select("chunk", "idx", F.col("logp").alias("value")), 2)
     nothing = {"ids": "array<long>", "held": "array<boolean>", "starts": "array<long>"}
@@ -328,7 +332,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
                 else:
                     logp[a:b] = sums(value[code])
         return pa.record_batch({
-            "doc_id": pa.array(one.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
+            "doc_id": one.column("ids")[0].values, "held_out": pa.array(held_out), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
             "train_tokens": pa.array(np.full(len(held_out), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": pa.array(logp),
         })
 

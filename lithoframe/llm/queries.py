@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lithoframe.llm import embedding_dedup, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, ppm, quality, token_binary
 from lithoframe.llm.common import documents, fold
@@ -72,7 +71,7 @@ def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times", "part", F.col("src").alias("source"))
+    return mixing.tally(documents(spark, sf_dir)).withColumnRenamed("src", "source")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

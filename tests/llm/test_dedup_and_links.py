@@ -118,9 +118,38 @@ def test_ngram_join_edges(spark):
 
 
 def test_prefixes_shorten_until_recall():
-    assert ngram_join.prefix_depth(0.8, 20, 8, 0.5) == 8
-    assert ngram_join.prefix_depth(0.8, 20, 8, 0.9999) < 6
-    assert ngram_join.prefix_depth(0.8, 1, 8, 1.0) == 1
+    near, far = np.zeros(ngram_join.BINS), np.zeros(ngram_join.BINS)
+    near[-4:], far[0] = 100, 100  # similarities of 0.98 and more; of 0.8
+    assert ngram_join.next_depth(near, 0.8, 20, 6, 0.9999) is None
+    assert ngram_join.next_depth(far, 0.8, 20, 6, 0.9999) == 4 and ngram_join.next_depth(far, 0.8, 20, 4, 0.9999) is None
+    assert ngram_join.next_depth(far, 0.8, 20, 6, 0.999) == 5 and ngram_join.next_depth(near + far / 100, 0.8, 20, 6, 0.9999) == 4
+    assert ngram_join.next_depth(np.zeros(ngram_join.BINS), 0.8, 20, 6, 0.9999) is None and ngram_join.next_depth(far, 0.8, 1, 6, 1.0) == 1
+
+
+def test_labels_are_prefixes():
+    labels = ngram_join.labels_of([np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.uint64), np.arange(10, 90, dtype=np.uint64)], 20, 6).reshape(3, 20, 2)
+    for depth in range(1, 7):
+        same = [bool(ngram_join._shared(labels[:1, t], labels[2:, t], depth)[0, 0]) for t in range(20)]
+        assert ngram_join._shared(labels[:1, 0], labels[1:2, 0], depth).all()
+        assert depth == 1 or all(b or not a for a, b in zip(same, before, strict=True))  # noqa: F821
+        before = same
+
+
+@pytest.mark.parametrize("start", [6, 2])
+def test_ngram_join_levels_agree(spark, monkeypatch, start):
+    monkeypatch.setattr(ngram_join, "DEPTH", start)
+    rng = np.random.default_rng(7)
+    texts = [t for n in (60, 25, 18) for _ in range(4) for t in near_copies(rng, 6, n, 1)]
+    component, links = brute_join(texts)
+    got = {r.doc_id: r for r in ngram_join.link(table(spark, texts)).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == links and [got[i].class_id for i in range(len(texts))] == component
+
+
+def test_ngram_join_ids_null_or_with_two_texts(spark):
+    t1, t2 = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, t1), (1, t2), (2, t1 + " x"), (3, t2 + " y"), (None, t1 + " z"), (None, "alone here it stands still"), (7, t1), (None, None)]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.n_links, r.class_id or 0, r.kept) for r in got) == sorted([(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (0, 3, 1, False), (0, 0, 0, True), (7, 3, 1, False), (0, 0, 0, True)])
 
 
 def brute_vectors(v, threshold=0.9):
@@ -155,6 +184,24 @@ def test_embeddings_one_cell(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_ids_null_or_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (None, [1.0, 0.2]), (None, [-1.0, 0.0]), (None, None)]
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in got) == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (0, 2, 1, False), (0, 0, 0, True), (0, 0, 0, True)])
+
+
+def test_embeddings_small_tables_have_cells(spark, monkeypatch):
+    fitted = []
+    fit = embedding_dedup.spherical_kmeans
+    monkeypatch.setattr(embedding_dedup, "spherical_kmeans", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = sorted(map(tuple, df.collect()))
+    component, links = brute_vectors([v for _, v in rows])
+    got = {r.vec_id: r for r in embedding_dedup.link(df).collect()}
+    assert [got[i].n_links for i, _ in rows] == links and [got[i].component_id for i, _ in rows] == [rows[c][0] for c in component]
+    assert len(fitted) == 1 and len(fitted[0]) > 1
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_embeddings_many_cells(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)

@@ -37,24 +37,53 @@ def test_splitting_tree():
     assert (out == mixing.splitting_tree(quotas, 13, 1)).all()
 
 
-def test_mix_plan_and_rows(spark):
+def mix_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, words(int(n), i), "en", ["b", None, "a", "c"][int(s)]) for i, (n, s) in enumerate(zip(rng.integers(0, 60, 900), rng.choice(4, 900, p=[0.6, 0.1, 0.1, 0.2]), strict=True))]
-    rows += [(900, None, "en", "a"), (901, "", None, None), (902, words(5), "en", "b"), (902, words(5), "en", "b")]
-    df = docs_of(spark, rows)
-    got = mixing.plan(df).collect()
-    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, mixing.plan(df.repartition(3)).collect()))
-    taken = defaultdict(int)
-    for r in got:
-        assert 0 <= r.taken <= 2 * r.size
-        taken[r.src] += r.taken
-    for r in got:
-        assert abs(taken[r.src] - r.target) <= 1.5 + 5  # the repeated row is decided once
+    rows += [(900, None, "en", "a"), (901, "", None, None), (902, words(5), "en", "b"), (902, words(5), "en", "b"), (None, words(9), "en", "c")]
+    return rows, docs_of(spark, rows).withColumns({"_shard": F.lit(1), "_place": F.lit(2), "_words": F.lit(3), "own_size": F.lit(4), "words": F.lit(5)})
+
+
+def test_mix_rows_are_the_plan(spark):
+    rows, df = mix_rows(spark)
     mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "_shard_1", "_place_1"] and {tuple(r) for r in mixed.select("_shard", "_words", "own_size", "words").distinct().collect()} == {(1, 3, 4, 5)}
     n = Counter(r.doc_id for r in mixed.collect())
     whole = {r.doc_id: r.times * (2 if r.doc_id == 902 else 1) for r in mixing.plan(df, split_documents=False).collect() if r.size}
-    assert n == Counter({i: t for i, t in whole.items() if t}) and mixed.columns[: len(df.columns)] == df.columns
-    assert mixing.plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+    assert n == Counter({i: t for i, t in whole.items() if t})
+    assert mixing.plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0 and mixing.tally(df.limit(0)).count() == 0
+
+
+def test_mix_holds_quotas(spark):
+    """Shards are disjoint runs of whole blocks of the lengths the tree gave; their words are the tally and meet the targets."""
+    rows, df = mix_rows(spark)
+    sizes = {s: sum(len((t or "").split()) for _, t, _, x in rows if x == s) for s in ("a", "b", "c", None)}
+    goal = dict(zip(sizes, mixing.targets(list(sizes.values()), [3, 1, 2, 3]), strict=True))
+    planned = mixing.plan(df).cache()
+    drawn = mixing.draw(planned, shards=7).collect()
+    shard = defaultdict(set)
+    for r in drawn:
+        shard[r.src, r["pass"], r.block].add(r.shard)
+    assert all(len(x) == 1 for x in shard.values()) and len({r.shard for r in drawn}) == 7  # disjoint
+    for src in sizes:  # runs: the shards follow each other over the permuted blocks, as long as the tree says
+        order = [next(iter(shard[b])) for b in sorted((b for b in shard if b[0] == src), key=lambda b: b[1:])]
+        assert order == sorted(order)
+    sources = [s for s in sizes if any(b[0] == s for b in shard)]
+    tree = mixing.splitting_tree([sum(b[0] == s for b in shard) for s in sources], 7, 20)
+    assert [[sum(b[0] == s and shard[b] == {k} for b in shard) for s in sources] for k in range(7)] == tree.tolist()
+    got = mixing.tally(df).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.tally(df.repartition(3)).collect()))
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.src] and math.isclose(r.target, goal[r.src])
+        taken[r.src] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 1 + 5 for s in goal)  # the repeated row is decided once
+    by_hand = Counter()
+    for r in drawn:
+        by_hand[r.doc_id, r.src, r["size"]] += r.words
+    assert {(r.doc_id, r.src, r["size"]): r.taken for r in got if r.taken} == dict(by_hand)
+    words_of = mixing.mix(df, split_documents=True, shards=7).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()
+    assert {r.source: r.n for r in words_of if r.source != "b"} == {s: taken[s] for s in ("a", "c", None)}
 
 
 def test_mix_table(spark, data):
