@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, shuffled inside shards."""
     mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    where = mixed.columns[-2:]
+    return mixed.repartitionByRange(*where).sortWithinPartitions(*where).drop(*where)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
