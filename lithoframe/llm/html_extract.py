@@ -36,6 +36,8 @@ BAD_REGIONS = frozenset("aside button dialog fieldset footer form head iframe me
 BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup print promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toc toolbar tracking widget widgets".split()
 )
+# Words that say nothing of what such a name's element holds.
+NEUTRAL_NAMES = frozenset("area bar bars block blocks body bottom box button buttons center col column container content count dropdown entry footer group header heading icon icons inner input item items label left link links list main message module outer panel post posts primary right row secondary section site slot small text title top unit wrap wrapper".split())
 MAIN_REGIONS = frozenset(["article", "main"])
 # Names in class, id, role or itemprop of the region with the main text.
 MAIN_NAMES = frozenset("article articlebody article-body article-content content-body entry-content main main-content maincontent post-body post-content story-body".split())
@@ -48,7 +50,8 @@ IMPLIED = {t: (CELLS, IN_TABLE) for t in CELLS} | {"tr": (("tr", *CELLS, "captio
 LINK_DENSITY, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.33, 0.12, 0.28, 70, 200
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|svg|math|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:(script|style|noscript|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|(svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\2\s*>|\Z))"  # only these may close themselves
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
 )
@@ -57,6 +60,7 @@ NAME_PARTS = re.compile(r"[^\s]+")
 PIECES = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+WIDE = re.compile("[\u0e00-\u0eff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass(slots=True)
@@ -67,6 +71,19 @@ class Block:
     heading: bool
 
 
+def _bad_name(name: str) -> bool:
+    """Whether a class or id names a region without main text: its last word does (site-footer), or its first
+    one with nothing to the contrary after it (share-buttons, but not share-price-news)."""
+    parts = [p.lower() for p in PIECES.split(name) if p]
+    if not parts:
+        return False
+    plain = [p.rstrip("0123456789") for p in parts]
+    if plain[-1] in BAD_NAMES:
+        return True
+    at = next((k for k, p in enumerate(plain) if p in BAD_NAMES), None)
+    return at is not None and all(not p or len(p) == 1 or p in NEUTRAL_NAMES or p in BAD_NAMES for p in plain)
+
+
 def _region(tag: str, attributes: str, inside_main: bool) -> int:
     if tag in BAD_REGIONS or (tag == "header" and not inside_main):
         return -1
@@ -79,7 +96,7 @@ def _region(tag: str, attributes: str, inside_main: bool) -> int:
             for whole in NAME_PARTS.findall(value):
                 if whole.lower() in MAIN_NAMES:
                     found = 1
-                elif tag not in ("body", "html") and not (found == 1 and tag in MAIN_REGIONS) and any(p.lower() in BAD_NAMES for p in PIECES.split(whole)):
+                elif tag not in ("body", "html") and not (found == 1 and tag in MAIN_REGIONS) and _bad_name(whole):
                     return -1
         elif name == "style" and HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
             return -1
@@ -120,7 +137,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         return max((at[-1] for t in tags if (at := places.get(t))), default=-1)
 
     for m in TOKEN.finditer(page):
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or len(piece) == 1:
@@ -130,7 +147,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
                 if breaks and not piece.isspace():
                     breaks = 0
             continue
-        tag, close, attributes = tag.lower(), m[2] or m[5], m[4] if m[3] else m[7]
+        tag, close, attributes = tag.lower(), m[3] or m[6], m[5] if m[4] else m[8]
         if tag == "br":
             breaks += 1
             text.append(" ")
@@ -166,15 +183,24 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     return out, has_main
 
 
-def label(block: Block, has_main: bool, stops: frozenset[str]) -> int:
-    """1 good, -1 bad, 0 undecided: the block by itself."""
+def foreign(blocks: list[Block], stops: frozenset[str]) -> bool:
+    """Whether the page's own text is in a language without stop words here, so that their density says nothing."""
+    words = [w.lower() for b in blocks if b.region >= 0 for w in LETTERS.findall(b.text)]
+    return sum(map(len, words)) >= SHORT and sum(w in stops for w in words) < 0.02 * len(words)
+
+
+def label(block: Block, has_main: bool, stops: frozenset[str], unknown: bool = False) -> int:
+    """1 good, -1 bad, 0 undecided: the block by itself; in an unknown language by length alone."""
     n = len(block.text)
     if block.region == -1 or has_main and block.region == 0:
         return -1
     if block.link_chars > LINK_DENSITY * n:
         return -1
-    if block.region == 0 and ("\N{COPYRIGHT SIGN}" in block.text):
+    if block.region == 0 and n < LONG and "\N{COPYRIGHT SIGN}" in block.text:
         return -1
+    if unknown:  # a character of a script without blanks stands for about three
+        n += 2 * len(WIDE.findall(block.text))
+        return 0 if block.heading or n < SHORT else 1 if n >= LONG or block.region == 1 else 0
     if block.heading or n < SHORT:
         return 0
     words = [w.lower() for w in LETTERS.findall(block.text)]
@@ -196,7 +222,8 @@ def extract(page: str | None, stops: frozenset[str] = STOP_WORDS) -> str:
     if not page:
         return ""
     blocks, has_main = blocks_of(page)
-    first = [label(b, has_main, stops) for b in blocks]
+    unknown = foreign(blocks, stops)
+    first = [label(b, has_main, stops, unknown) for b in blocks]
     decided = [k for k, v in enumerate(first) if v]
     # Inside a main region the region's own blocks decide; menus around it don't.
     own = [k for k in decided if blocks[k].region == 1] if has_main else decided

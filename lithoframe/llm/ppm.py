@@ -288,8 +288,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     held = F.coalesce(held, F.lit(False))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = staged(chunked(texts, chunk), "ppm-chunks")
-    words = staged(_dictionary(chunks, "word", order), "ppm-words")
-    grams = staged(_dictionary(chunks, "gram", order), "ppm-grams")
+    words = staged(_dictionary(chunks, "word", order), "ppm-words", "zstd")
+    grams = staged(_dictionary(chunks, "gram", order), "ppm-grams", "zstd")
     vocabulary = staged(words.groupBy("entry").agg(F.sum("n").alias("c")), "ppm-vocabulary")
     ends = int(texts.filter(~F.col("held")).count())
     seen = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

@@ -164,6 +164,28 @@ def test_html(spark):
     assert main_text(rows.limit(0)).count() == 0
 
 
+def test_html_edges():
+    body = "So it is that the cat of the house was on the mat and in the sun with all that it had. " * 4
+    for page, want in [
+        (f'<body><script src="a"/>code of the script</script><p>{body}</p></body>', body.strip()),
+        (f"<body><svg/><p>{body}</p></body>", body.strip()),
+        (f"<body><p>{body}</p><p>{body} © the owner of it</p></body>", f"{body.strip()}\n\n{body}© the owner of it".replace("  ", " ")),
+        (f"<body><p>{body}</p><div>© 2024 the firm</div></body>", body.strip()),
+        (f'<body><div class="share-price-news"><p>{body}</p></div><div class="share-buttons"><p>{body}</p></div><div class="site-footer"><p>{body}</p></div></body>', body.strip()),
+    ]:
+        assert extract(page) == want
+    long_ = "这是一个关于猫和狗的很长的故事它们住在河边的房子里每天都一起玩耍" * 5
+    assert extract(f"<body><nav>首页 新闻</nav><p>{long_}</p><p>{long_}。</p><footer>版权</footer></body>") == f"{long_}\n\n{long_}。"
+
+
+def test_html_brute_force_pages(spark, data):
+    """On every page of the table, the operator's rows are those of the rules applied one page at a time."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in main_text(pages.repartition(3)).collect()}
+    want = {r.page_id: (r.url, extract(r.html), len(extract(r.html))) for r in pages.collect()}
+    assert got == want and sum(n > 0 for _, _, n in got.values()) > 0.8 * len(got)
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
