@@ -79,6 +79,12 @@ def hlc_class(remote_ms: Column, local_ms: Column) -> Column:
     return F.when(remote_ms > local_ms + MAX_SKEW_MS, "skew").when(F.abs(remote_ms - local_ms) > REPLAY_WINDOW_MS, "replay").otherwise("ok")
 
 
+def hlc_rejected(remote: Column, local_ms: Column) -> Column:
+    """Why a message with this stamp is dropped, or null; a stamp of 0 (a sender without a clock) passes."""
+    found = hlc_class(hlc_wall(remote), local_ms)
+    return F.when((remote != 0) & (found != "ok"), found)
+
+
 def backoff_seconds(failures: Column) -> Column:
     return F.pow(F.lit(2), F.least(failures, F.lit(MAX_BACKOFF_EXPONENT))).cast("long")
 

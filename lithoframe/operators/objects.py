@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lithoframe.functions.digests import cid, shard, verify
@@ -38,6 +38,30 @@ def contains(store: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(keys, "cid", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
+def list_cids(names: DataFrame, column: str = "name") -> DataFrame:
+    """(cid) of the names that are ids: 64 hex digits, in lower case; other files are skipped."""
+    return names.filter(F.col(column).rlike("^[0-9a-fA-F]{64}$")).select(F.lower(column).alias("cid")).distinct()
+
+
+def not_pieces(contents: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Contents(cid) that aren't themselves coded pieces(piece_id): pieces aren't coded again."""
+    return contents.join(pieces.select(F.col("piece_id").alias("cid")), "cid", "left_anti")
+
+
+def get_codes(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(name) -> (name, code) as a program sees it: the object's bytes, -1 absent, -2 not an id, -3 damaged."""
+    asked = wanted.select("name", F.when(F.col("name").rlike("^[0-9a-f]{64}$"), F.col("name")).alias("cid"))
+    got = asked.join(store.select("cid", "data"), "cid", "left")
+    code = F.when(F.col("cid").isNull(), -2).when(F.col("data").isNull(), -1).when(~verify(F.col("data"), F.col("cid")), -3).otherwise(F.octet_length("data"))
+    return got.select("name", code.cast("long").alias("code"))
+
+
+def counters(rows: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
+    """rows, and what counts them as they pass: its get holds the counters after an action."""
+    seen = Observation(name)
+    return rows.observe(seen, *[c.alias(k) for k, c in counts.items()]), seen
+
+
 def delete(store: DataFrame, gone: DataFrame) -> DataFrame:
     return store.join(gone.select("cid"), "cid", "left_anti")
 

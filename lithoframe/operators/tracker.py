@@ -51,3 +51,13 @@ def forget_empty(k_of: DataFrame, holders: DataFrame) -> DataFrame:
 
 def remove_provider(providers: DataFrame, pairs: DataFrame) -> DataFrame:
     return providers.join(pairs.select("cid", "node"), ["cid", "node"], "left_anti")
+
+
+def provider_list(providers: DataFrame) -> DataFrame:
+    """(cid, nodes): the nodes that announced a content, in order."""
+    return providers.groupBy("cid").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
+def waiting(waiters: DataFrame) -> DataFrame:
+    """Contents waited for, and waiters, in one row."""
+    return waiters.agg(F.count_distinct("cid").alias("contents"), F.count(F.lit(1)).alias("waiters"))

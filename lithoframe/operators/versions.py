@@ -25,9 +25,14 @@ def page_index(pages: DataFrame) -> DataFrame:
     return pages.withColumn("cid", cid(F.col("data"))).drop("data")
 
 
-def read_pages(index: DataFrame, store: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(page_num) resolved over the index to the store's objects; data null if there is none."""
-    return wanted.join(index.select("page_num", "cid"), "page_num", "left").join(store.select("cid", "data"), "cid", "left")
+def read_pages(index: DataFrame, store: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("page_num",)) -> DataFrame:
+    """wanted(keys) resolved over the index(keys, cid) to the store's objects: cid and data null if there is none."""
+    return wanted.join(index.select(*keys, "cid"), list(keys), "left").join(store.select("cid", "data"), "cid", "left")
+
+
+def checked_pages(pages: DataFrame, size: int = PAGE_BYTES) -> DataFrame:
+    """Pages to write; one that isn't `size` bytes long fails the write."""
+    return pages.withColumn("data", F.when(F.octet_length("data") == size, F.col("data")).otherwise(F.raise_error(F.lit(f"a page has {size} bytes"))))
 
 
 def latest(log: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:

@@ -84,27 +84,14 @@ def shard_histogram(spark, d):
     return objects.shard_histogram(_store(spark, d))
 
 
-@query("SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text) AS present FROM benchmark b UNION ALL SELECT -1 - doc_id AS item_id, TRUE AS present FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text) AS present FROM benchmark b UNION ALL SELECT -1 - doc_id AS item_id, TRUE AS present FROM documents")
 def object_contains(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", "text").union(table(spark, d, "documents").filter("doc_id % 10 = 0").select(-1 - F.col("doc_id"), "text"))
-    return objects.contains(_store(spark, d), asked.select("item_id", dg.cid(F.col("text")).alias("cid"))).select("item_id", "present")
-
-
-@query("SELECT sha256(text) AS cid, max(text) AS data FROM documents WHERE doc_id % 10 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT sha256(text), NULL FROM benchmark WHERE text NOT IN (SELECT text FROM documents)")
-def object_get(spark, d):
-    asked = table(spark, d, "documents").filter("doc_id % 10 = 0").select("text").union(table(spark, d, "benchmark").select("text"))
-    return objects.get(_store(spark, d), asked.select(dg.cid(F.col("text")).alias("cid")).distinct())
-
-
-@query()
-def object_contains_whole(spark, d):
-    """Asks for all documents; the SQL of object_contains has every tenth, and so has that of object_get."""
     asked = table(spark, d, "benchmark").select("item_id", "text").union(table(spark, d, "documents").select(-1 - F.col("doc_id"), "text"))
     return objects.contains(_store(spark, d), asked.select("item_id", dg.cid(F.col("text")).alias("cid"))).select("item_id", "present")
 
 
-@query()
-def object_get_whole(spark, d):
+@query("SELECT sha256(text) AS cid, max(text) AS data FROM documents GROUP BY 1 UNION ALL SELECT DISTINCT sha256(text), NULL FROM benchmark WHERE text NOT IN (SELECT text FROM documents)")
+def object_get(spark, d):
     asked = table(spark, d, "documents").select("text").union(table(spark, d, "benchmark").select("text"))
     return objects.get(_store(spark, d), asked.select(dg.cid(F.col("text")).alias("cid")).distinct())
 
@@ -159,14 +146,6 @@ def page_chunks(spark, d):
     return _index(spark, d).select("page_id", "page_num", "cid")
 
 
-@query(f"SELECT page_id, page_num, cid, TRUE AS found FROM {_PAGE_CIDS} WHERE page_num <= 1 UNION ALL SELECT page_id, 1 AS page_num, NULL AS cid, FALSE AS found FROM pages WHERE octet_length(encode(html)) <= 1024")
-def page_read(spark, d):
-    index = _index(spark, d)
-    store = _pages(spark, d).select(dg.cid(F.col("data")).alias("cid"), "data").dropDuplicates(["cid"])
-    asked = table(spark, d, "pages").select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page_num"))
-    return asked.join(index, ["page_id", "page_num"], "left").join(store, "cid", "left").select("page_id", "page_num", "cid", F.coalesce(dg.verify(F.col("data"), F.col("cid")), F.lit(False)).alias("found"))
-
-
 _LE = "substr(printf('%08x', {n}), 7, 2) || substr(printf('%08x', {n}), 5, 2) || substr(printf('%08x', {n}), 3, 2) || substr(printf('%08x', {n}), 1, 2)"
 
 
@@ -221,21 +200,14 @@ def page_tombstone(spark, d):
     return versions.snapshot(inputs.page_log(spark, d), 1_000_000_000, ["page_num"], "cid")
 
 
-_CHAIN = " UNION ALL ".join(f"SELECT {v} AS version, CAST(count(*) AS INT) AS pages, sha256(unhex({_le('count(*)')} || coalesce(string_agg({_le('page_num')} || cid, '' ORDER BY page_num), ''))) AS root FROM ({_AT.replace('{{page_log}}', '{page_log}').replace('{v}', str(v))})" for v in (100, 400, 700, 1000))
+_CHAIN = f"""WITH log AS (SELECT * FROM {{page_log}}), last AS (SELECT max(version) AS m FROM log), c AS (SELECT DISTINCT least(x, m) AS v FROM (SELECT m, unnest(range(100, m + 100, 100)) AS x FROM last)),
+e AS (SELECT v, page_num, cid FROM (SELECT c.v, l.page_num, l.cid, row_number() OVER (PARTITION BY c.v, l.page_num ORDER BY l.version DESC) AS rn FROM c JOIN log l ON l.version <= c.v) WHERE rn = 1 AND cid IS NOT NULL)
+SELECT v AS version, CAST(count(*) AS INT) AS pages, sha256(unhex({_le('count(*)')} || string_agg({_le('page_num')} || cid, '' ORDER BY page_num))) AS root FROM e GROUP BY v"""
 
 
 @query(_CHAIN)
 def commit_chain(spark, d):
-    log = inputs.page_log(spark, d)
-    at = spark.createDataFrame([(100,), (400,), (700,), (1000,)], "at int")
-    seen = log.join(F.broadcast(at), log.version <= F.col("at"))
-    index = versions.latest(seen, ["at", "page_num"], "version", "cid").filter(F.col("cid").isNotNull())
-    return versions.root_cid(index, ["at"]).withColumnRenamed("at", "version")
-
-
-@query()
-def commit_chain_whole(spark, d):
-    """Commits at every hundredth version up to the last; the SQL of commit_chain has four of the first thousand."""
+    """Commits at every hundredth version, and at the last."""
     return versions.commit_roots(inputs.page_log(spark, d), 100)
 
 
@@ -318,11 +290,6 @@ def provider_ttl(spark, d):
     return tracker.expire(p, "announced_at", F.lit("2000-01-01 00:00:00").cast("timestamp"), 400 * 86_400)
 
 
-@query("SELECT node, count(DISTINCT cid) AS contents FROM {reports} GROUP BY node")
-def provider_lists(spark, d):
-    return inputs.reports(spark, d).groupBy("node").agg(F.count_distinct("cid").alias("contents"))
-
-
 @query("SELECT cid, node, piece_count FROM {holders} WHERE node NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
 def remove_node(spark, d):
     dead = table(spark, d, "supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("node"))
@@ -406,35 +373,20 @@ def elect_top_n(spark, d):
 _RING = "(SELECT node, row_number() OVER (ORDER BY node) - 1 AS place, count(*) OVER () AS n FROM {alive}%s)"
 _START = "CAST('0x' || substr(md5(CAST(p.cid AS VARCHAR)), 1, 7) AS BIGINT)"
 _TARGET = f"""SELECT cid, node AS target, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY tier, d) AS rn FROM (
-SELECT p.cid, a.node, CASE WHEN h.piece_count = 1 THEN 1 WHEN h.piece_count IS NULL THEN 2 ELSE 3 END AS tier, (a.place - {_START} % a.n + a.n) % a.n AS d FROM (SELECT cid FROM {{k_of}} WHERE cid % 10 = 0) p CROSS JOIN {_RING % f" WHERE node <> {HERE}"} a LEFT JOIN {{holders}} h ON h.cid = p.cid AND h.node = a.node)) WHERE rn = 1"""
+SELECT p.cid, a.node, CASE WHEN h.piece_count = 1 THEN 1 WHEN h.piece_count IS NULL THEN 2 ELSE 3 END AS tier, (a.place - {_START} % a.n + a.n) % a.n AS d FROM (SELECT cid FROM {{k_of}}) p CROSS JOIN {_RING % f" WHERE node <> {HERE}"} a LEFT JOIN {{holders}} h ON h.cid = p.cid AND h.node = a.node)) WHERE rn = 1"""
 
 
 @query(_TARGET)
 def distribution_target(spark, d):
-    return health.distribution_target(inputs.k_of(spark, d).filter("cid % 10 = 0"), inputs.holders(spark, d), inputs.alive(spark, d), HERE)
+    return health.distribution_target(inputs.k_of(spark, d), inputs.holders(spark, d), inputs.alive(spark, d), HERE)
 
 
 @query(f"SELECT e.cid, e.rank, t.target FROM ({_ELECTED}) e JOIN ({_TARGET}) t ON e.cid = t.cid JOIN {{holders}} h ON h.cid = e.cid AND h.node = e.node WHERE h.piece_count >= 2")
 def repair_plan(spark, d):
     """Elected repairers with the two pieces that recoding needs, and where the new piece goes."""
-    return _plan(spark, d, inputs.k_of(spark, d).filter("cid % 10 = 0"))
-
-
-def _plan(spark, d, contents):
     h = inputs.holders(spark, d)
     elected = health.elect(_ranked(spark, d), _triage(spark, d)).join(h.filter("piece_count >= 2").select("cid", "node"), ["cid", "node"])
-    return elected.join(health.distribution_target(contents, h, inputs.alive(spark, d), HERE), "cid").select("cid", "rank", "target")
-
-
-@query()
-def distribution_target_whole(spark, d):
-    """A target for each content; the SQL of distribution_target has every tenth, as its cross join is slow."""
-    return health.distribution_target(inputs.k_of(spark, d), inputs.holders(spark, d), inputs.alive(spark, d), HERE)
-
-
-@query()
-def repair_plan_whole(spark, d):
-    return _plan(spark, d, inputs.k_of(spark, d))
+    return elected.join(health.distribution_target(inputs.k_of(spark, d), h, inputs.alive(spark, d), HERE), "cid").select("cid", "rank", "target")
 
 
 @query("SELECT p.l_partkey AS cid, p.piece, s.node FROM (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 100 + l_linenumber, l_quantity, l_extendedprice) - 1 AS piece FROM lineitem) p JOIN (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) s ON (p.piece // 2) % s.n = s.i")
@@ -480,13 +432,8 @@ def piggyback_count(spark, d):
     return n.select("n", dg.piggyback_count(F.col("n")).alias("k"), dg.fanout(F.col("n")).alias("fanout"))
 
 
-@query(f"SELECT p.cid, a.node FROM (SELECT cid FROM {{k_of}} WHERE cid % 10 = 0) p JOIN {_RING % ''} a ON (a.place - {_START} % a.n + a.n) % a.n < greatest(1, ceil(ln(a.n)))")
+@query(f"SELECT p.cid, a.node FROM (SELECT cid FROM {{k_of}}) p JOIN {_RING % ''} a ON (a.place - {_START} % a.n + a.n) % a.n < greatest(1, ceil(ln(a.n)))")
 def fanout_sample(spark, d):
-    return gossip.fanout_sample(inputs.k_of(spark, d).filter("cid % 10 = 0"), inputs.alive(spark, d))
-
-
-@query()
-def fanout_sample_whole(spark, d):
     return gossip.fanout_sample(inputs.k_of(spark, d), inputs.alive(spark, d))
 
 
@@ -625,22 +572,6 @@ def waiter_ttl(spark, d):
     return left.groupBy("cid").agg(F.count(F.lit(1)).alias("waiting"))
 
 
-@query("SELECT event_type, CASE event_type WHEN 'view' THEN 'announce' WHEN 'purchase' THEN 'encode' WHEN 'error' THEN 'remove_node' ELSE 'ignored' END AS handler, count(*) AS n FROM events GROUP BY 1, 2")
-def event_route(spark, d):
-    kind = F.col("event_type")
-    handler = F.when(kind == "view", "announce").when(kind == "purchase", "encode").when(kind == "error", "remove_node").otherwise("ignored")
-    return table(spark, d, "events").groupBy("event_type", handler.alias("handler")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_MESSAGE_TAGS = ("ping", "pong", "ack", "suspect", "dead")
-
-
-@query("SELECT seq, kind, CASE kind WHEN 'ping' THEN 0 WHEN 'alive' THEN 2 WHEN 'suspect' THEN 3 ELSE 4 END AS tag, kind <> 'ping' AS membership FROM {members}")
-def message_class(spark, d):
-    kind = F.col("kind")
-    return inputs.members(spark, d).select("seq", "kind", F.when(kind == "ping", 0).when(kind == "alive", 2).when(kind == "suspect", 3).otherwise(4).alias("tag"), (kind != "ping").alias("membership"))
-
-
 # -- windows ----------------------------------------------------------------------------------------
 
 
@@ -688,15 +619,8 @@ def _objects(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("cid"), F.col("text").cast("binary").alias("data"))
 
 
-@query("WITH {GF} SELECT a.x, a.y, CASE WHEN a.x = 0 OR a.y = 0 THEN 0 ELSE m.p END AS product FROM (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(range(256)) AS x), (SELECT unnest(range(0, 256, 5)) AS y)) a LEFT JOIN m ON m.a = a.x AND m.b = a.y")
+@query("WITH {GF} SELECT a.x, a.y, CASE WHEN a.x = 0 OR a.y = 0 THEN 0 ELSE m.p END AS product FROM (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(range(256)) AS x), (SELECT unnest(range(256)) AS y)) a LEFT JOIN m ON m.a = a.x AND m.b = a.y")
 def gf_tables(spark, d):
-    xs = spark.range(256).select(F.col("id").cast("int").alias("x"))
-    return xs.select("x", F.explode(F.sequence(F.lit(0), F.lit(255), F.lit(5))).alias("y")).select("x", "y", gf256.mul(F.col("x"), F.col("y")).alias("product"))
-
-
-@query()
-def gf_tables_whole(spark, d):
-    """All 65,536 products; the SQL of gf_tables has every fifth column."""
     xs = spark.range(256).select(F.col("id").cast("int").alias("x"))
     return xs.select("x", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("y")).select("x", "y", gf256.mul(F.col("x"), F.col("y")).alias("product"))
 
@@ -723,8 +647,7 @@ def rlnc_encode(spark, d):
 
 
 def _pieces(spark, d):
-    o = _objects(spark, d)
-    return coding.pack_pieces(coding.encode(o, K, PIECES), coding.vectors(o.select("cid"), K, PIECES))
+    return coding.encode_pieces(_objects(spark, d), K, PIECES)
 
 
 @query(f"WITH {{GF}}, {{CELLS}}, {VECTORS}, {CODED}, v AS (SELECT cid, p, string_agg(printf('%02x', c), '' ORDER BY j) AS h FROM vec GROUP BY cid, p), x AS (SELECT cid, p, string_agg(printf('%02x', b), '' ORDER BY off) AS h FROM coded GROUP BY cid, p) SELECT v.cid, CAST(v.p AS INT) AS p, sha256(unhex(v.h || x.h)) AS piece_id FROM v JOIN x ON v.cid = x.cid AND v.p = x.p")
@@ -761,23 +684,12 @@ def rlnc_recode(spark, d):
     return coding.recode(coding.encode(_objects(spark, d), K, PIECES), _new(spark, d))
 
 
-@query("SELECT item_id AS cid, TRUE AS same_or_short FROM benchmark")
-def rlnc_recode_decode(spark, d):
-    """What recoded pieces of full rank decode to is the object itself."""
-    o, new = _objects(spark, d), _new(spark, d)
-    old = coding.vectors(o.select("cid"), K, PIECES)
-    pieces = coding.pack_pieces(coding.recode(coding.encode(o, K, PIECES), new), coding.recoded_vectors(old, new))
-    told = coding.decode(pieces, o.select("cid", F.octet_length("data").alias("size")))
-    return told.join(o.withColumnRenamed("data", "want"), "cid").select("cid", ((F.col("rank") < K) | (F.col("data") == F.col("want"))).alias("same_or_short"))
-
-
-_STREAM = "st AS (SELECT t, off, cid, CAST('0x' || substr(md5(concat_ws(':', 'm', cid, t, off)), 1, 2) AS INT) AS r FROM (SELECT DISTINCT cid, off FROM cells WHERE off < 40 AND cid < 8), (SELECT unnest(range(32)) AS t))"
+_STREAM = "st AS (SELECT t, off, cid, CAST('0x' || substr(md5(concat_ws(':', 'm', cid, t, off)), 1, 2) AS INT) AS r FROM (SELECT DISTINCT cid, off FROM cells), (SELECT unnest(range(32)) AS t))"
 
 
 def _tagged(spark, d):
-    o = _objects(spark, d).filter("cid < 8")
-    cells = coding.encode(o, K, PIECES).filter("off < 40")
-    return cells, coding.keystream(o.select("cid"), 40)
+    o = _objects(spark, d)
+    return coding.encode(o, K, PIECES), coding.keystream(o, coding.piece_size(K))
 
 
 @query(f"WITH {{GF}}, {{CELLS}}, {VECTORS}, {CODED}, {_STREAM} SELECT st.cid, CAST(coded.p AS INT) AS p, CAST(st.t AS INT) AS t, CAST(bit_xor(coalesce(m.p, 0)) AS INT) AS tag FROM coded JOIN st ON st.cid = coded.cid AND st.off = coded.off LEFT JOIN m ON m.a = st.r AND m.b = coded.b GROUP BY 1, 2, 3")
@@ -785,10 +697,10 @@ def mac_tags(spark, d):
     return coding.tags(*_tagged(spark, d))
 
 
-@query(f"SELECT CAST(cid AS BIGINT) AS cid, CAST(p AS INT) AS p, TRUE AS same FROM (SELECT unnest(range(8)) AS cid), (SELECT unnest(range({K})) AS p)")
+@query(f"SELECT item_id AS cid, CAST(p AS INT) AS p, TRUE AS same FROM benchmark, (SELECT unnest(range({K})) AS p)")
 def mac_combine_identity(spark, d):
     """Tags of recoded pieces, computed and combined, agree."""
-    return _combined(*_tagged(spark, d), _new(spark, d).filter("cid < 8"))
+    return _combined(*_tagged(spark, d), _new(spark, d))
 
 
 def _combined(cells, stream, new):
@@ -797,23 +709,6 @@ def _combined(cells, stream, new):
     return direct.join(combined, ["cid", "p", "t"]).groupBy("cid", "p").agg((F.count_if(F.col("tag") == F.col("other")) == coding.TAG_BYTES).alias("same"))
 
 
-def _tagged_whole(spark, d):
-    o = _objects(spark, d)
-    return coding.encode(o, K, PIECES), coding.keystream(o, coding.piece_size(K))
-
-
-@query()
-def mac_tags_whole(spark, d):
-    """Tags over every byte of every piece of all contents; the SQL of mac_tags has eight contents and 40 bytes."""
-    return coding.tags(*_tagged_whole(spark, d))
-
-
-@query()
-def mac_combine_identity_whole(spark, d):
-    """mac_combine_identity over whole pieces of all contents."""
-    return _combined(*_tagged_whole(spark, d), _new(spark, d))
-
-
 @query("SELECT item_id AS cid, 1 AS width, octet_length(encode(text)) AS bytes FROM benchmark")
 def udf_identity_piece(spark, d):
     return coding.identity_pieces(_objects(spark, d)).select("cid", F.size("vector").alias("width"), F.octet_length("data").cast("long").alias("bytes"))
@@ -876,44 +771,12 @@ def disk_watermark(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.when(u > 99, "full").when(u >= 95, "critical").when(u >= 90, "warning").otherwise("ok").alias("level"))
 
 
-@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS slot, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
-def rate_limit(spark, d):
-    e = table(spark, d, "events").groupBy("user_id", F.window("ts", "1 hour")["start"].alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("limited", F.col("n") > 2)
-
-
 @query("SELECT l_partkey AS item, count(DISTINCT l_suppkey) >= 20 AS final, count(DISTINCT l_suppkey) AS signers FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
 def attestation(spark, d):
     signed = table(spark, d, "lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_partkey").alias("item")).agg(F.count_distinct("l_suppkey").alias("signers"))
     return signed.select("item", (F.col("signers") >= 20).alias("final"), "signers")
 
 
-@query("SELECT db, seq, published FROM (SELECT db, o_orderkey AS seq, root IS DISTINCT FROM lag(root) OVER (PARTITION BY db ORDER BY o_orderkey) AS published FROM {writes})")
-def root_publication(spark, d):
-    before = F.lag("root").over(W.partitionBy("db").orderBy("o_orderkey"))
-    return inputs.writes(spark, d).select("db", F.col("o_orderkey").alias("seq"), (~F.col("root").eqNullSafe(before)).alias("published"))
-
-
-@query("SELECT node, CAST(sum(CASE event_type WHEN 'error' THEN 25 WHEN 'signup' THEN 5 ELSE 0 END) AS BIGINT) AS score, sum(CASE event_type WHEN 'error' THEN 25 WHEN 'signup' THEN 5 ELSE 0 END) >= 100 AS banned FROM (SELECT user_id AS node, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00') GROUP BY node")
-def ban_score(spark, d):
-    points = F.when(F.col("event_type") == "error", 25).when(F.col("event_type") == "signup", 5).otherwise(0)
-    e = table(spark, d, "events").filter(F.col("ts") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
-    return e.groupBy(F.col("user_id").alias("node")).agg(F.sum(points).alias("score")).withColumn("banned", F.col("score") >= 100)
-
-
-@query("SELECT node, score, pr <= 0.04 AS dropped FROM (SELECT *, percent_rank() OVER (ORDER BY score, node) AS pr FROM (SELECT node, round(0.6 * reputation + 0.2 * uptime / 4 + 0.2 * (1 - (node % 10) / 10.0), 6) AS score FROM {ranking}))")
-def connection_turnover(spark, d):
-    score = F.round(0.6 * F.col("reputation") + 0.2 * F.col("uptime") / 4 + 0.2 * (1 - (F.col("node") % 10) / 10.0), 6)
-    rows = inputs.ranking(spark, d).select("node", score.alias("score"))
-    return rows.select("node", "score", (F.percent_rank().over(W.orderBy("score", "node")) <= 0.04).alias("dropped"))
-
-
-@query("SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) WHERE r <= 2")
-def subnet_diversity(spark, d):
-    r = F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    return table(spark, d, "supplier").withColumn("r", r).filter("r <= 2").select("s_suppkey", "s_nationkey")
-
-
 @query("SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END AS INT) AS priority, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END, ts) AS turn FROM events")
 def task_queue(spark, d):
     """Earliest deadline first by priority; waiting tasks move up."""
@@ -923,14 +786,6 @@ def task_queue(spark, d):
     return e.select("event_id", "priority", F.row_number().over(W.partitionBy("user_id").orderBy("priority", "ts")).cast("long").alias("turn"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n >= 5 AND event_type = 'error'")
-def circuit_open(spark, d):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("user_id").orderBy(seconds).rangeBetween(-10 * 86_400 * 1_000_000, 0)
-    n = F.count_if(F.col("event_type") == "error").over(w)
-    return table(spark, d, "events").withColumn("n", n).filter("n >= 5 AND event_type = 'error'").select("user_id", "event_id")
-
-
 @query("SELECT event_id, arg_max AS last_error FROM (SELECT e.event_id, (SELECT max(x.ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.ts <= e.ts) AS arg_max FROM events e WHERE e.event_type = 'purchase')")
 def as_of_join(spark, d):
     """Each purchase with the user's latest error before it: one window, no theta join."""
@@ -962,18 +817,9 @@ def sql_s09_upsert(spark, d):
     return versions.latest(old.union(new), ["c_custkey"], "v", "c_acctbal")
 
 
-@query("SELECT 1 AS id, 'alpha' AS val UNION ALL SELECT 2, 'beta'")
-def sql_s08_create_insert(spark, d):
-    spark.sql("CREATE OR REPLACE TEMPORARY VIEW t AS SELECT * FROM VALUES (1, 'alpha'), (2, 'beta') AS t(id, val)")
-    return spark.sql("SELECT id, val FROM t")
-
-
-@query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 10 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 9 <> 0")
-def sql_s12_update_delete(spark, d):
-    s = table(spark, d, "supplier")
-    return s.filter("NOT s_suppkey % 9 = 0").select("s_suppkey", F.when(F.col("s_nationkey") == 3, F.col("s_acctbal") + 10).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
-
-
 @query()
 def sql_s32_approximate(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+
+
+from lithoframe.plans import wider  # noqa: E402, F401 - registers its queries here

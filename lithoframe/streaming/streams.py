@@ -42,6 +42,24 @@ def route(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], k
     return stream.writeStream.foreachBatch(each).trigger(availableNow=True)
 
 
+def ingest_holders(reports: DataFrame) -> DataFrame:
+    """Run a stream of reports(cid, node, piece_count, last_seen) over all there is: the holders that it leaves.
+
+    Each micro-batch is combined and appended under its number; a batch that is run again replaces its own
+    folder, so nothing counts twice.
+    """
+    spark = reports.sparkSession
+    at = f"{shared_folder(spark)}/lithoframe/holders-{uuid.uuid4().hex}"
+    combine = lambda rows: rows.groupBy("cid", "node").agg(F.max("piece_count").alias("piece_count"), F.max("last_seen").alias("last_seen"))
+    schema = combine(spark.createDataFrame([], reports.schema)).schema
+
+    def each(batch: DataFrame, number: int) -> None:
+        combine(batch).write.mode("overwrite").parquet(f"{at}/batch={number}")
+
+    reports.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+    return combine(spark.read.schema(schema).parquet(at).select(*schema.names))
+
+
 def tumbling(events: DataFrame, width: str) -> DataFrame:
     """Counts and sums by window and type; the same for batch and stream."""
     w = F.window("ts", width)
@@ -84,7 +102,8 @@ def rendezvous(requests: DataFrame, responses: DataFrame, within: str = "120 sec
     """requests(cid, waiter, ts) with the first response(cid, resp_ts) not before them and within the wait.
 
     Unanswered requests stay, with a null; responses nobody waits for are dropped. One pass back in time
-    over both tables: no pairs are made. Over streams it is an interval join under watermarks.
+    over both tables: no pairs are made. A row window doesn't run on a stream; there, join the two streams
+    on cid and the interval, under watermarks.
     """
     asked = requests.select("cid", "waiter", "ts", F.lit(None).cast("timestamp_ntz").alias("resp_ts"), F.lit(1).alias("asks"))
     told = responses.select("cid", F.lit(None).cast("long").alias("waiter"), F.col("resp_ts").alias("ts"), F.col("resp_ts").cast("timestamp_ntz"), F.lit(0).alias("asks"))
