@@ -35,3 +35,24 @@ def test_cells_within_the_angle_cover_links_of_thousands_of_cells():
     home, near = embedding_dedup.near_cells(v, c / np.linalg.norm(c, axis=1, keepdims=True), 0.9)
     a, b = np.arange(500), np.arange(500, 1000)
     assert near[a, home[b]].all() and near[b, home[a]].all() and near[a, home[a]].all()
+
+
+def test_vectors_are_dealt_once_not_to_every_cell(spark, monkeypatch):
+    """What is written grows with the vectors, not with the cells that each may link with."""
+    written = {}
+    keep = embedding_dedup.staged
+
+    def staged(df, label, *rest):
+        out = keep(df, label, *rest)
+        written[label] = written.get(label, 0) + (out.count() if label != "emb-blocks" else sum(len(r.rep) // 8 for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "staged", staged)
+    v = pairs_near(np.random.default_rng(9), 400, 16, 0.95)
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    found = embedding_dedup.link(df, cell_rows=20)
+    assert found.count() == len(v)
+    assert written["emb-blocks"] == len(v) and max(written.values()) <= 2 * len(v) and "emb-cells" not in written
+    x = np.asarray(v, dtype=np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r.n_links for r in found.orderBy("vec_id").collect()] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
