@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,21 @@ def discard(*tables: DataFrame) -> None:
         jvm.System.gc()  # Spark's cleaner removes the files of shuffles that are no longer referred to
 
 
+def trimmed(make: Callable) -> Callable:
+    """make, which gives a worker's free memory back when its task ends: workers stay for the next stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from make(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, or name with a number, such that no column is called that (case doesn't matter to Spark)."""
     have, out, k = {c.lower() for c in columns}, name, 0

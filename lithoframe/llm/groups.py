@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.common import trimmed
+
 
 def tiled(members: DataFrame, member: str, blocks: Column) -> DataFrame:
     """members with tile_i, tile_j and side (the own block is 0: rows, 1: columns, 2: both of the tile).
@@ -93,4 +95,4 @@ class Forest:
 
 def spread(df: DataFrame, key: list[str], make: Callable, schema: str) -> DataFrame:
     """Deal df by tile, sort in partitions, and run make over the stream of whole groups."""
-    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(make, schema)
+    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(make), schema)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.common import trimmed
+
 #: Hash cells, n-gram lengths, and characters handled at once.
 CELLS, ORDERS, PIECE = 1 << 16, (1, 2, 3), 1 << 20
 #: Training rows of a language at most, about (a hash of the text picks them), and languages at most.
@@ -128,7 +130,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
             cell = np.flatnonzero(total)
             yield pa.record_batch({"k": pa.array(np.full(len(cell), language, dtype=np.int32)), "cell": pa.array(cell.astype(np.int32)), "n": pa.array(total[cell])})
 
-    found = picked.select("k", "text").mapInArrow(count, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas()
+    found = picked.select("k", "text").mapInArrow(trimmed(count), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.ones((CELLS, languages))  # at most CELLS x MAX_LANGUAGES
     np.add.at(n, (found["cell"].to_numpy(), found["k"].to_numpy()), found["n"].to_numpy(dtype=np.float64))
     prior = np.log(np.asarray([x for _, x in counts], dtype=np.float64) / sum(x for _, x in counts))
@@ -180,4 +182,4 @@ def keep_identified(docs: DataFrame, where: Column, least: float = 0.5, text: st
             names, value = label(batch.column(text).to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED for x in names]) if least <= 0 else pa.array(value >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import discard, staged
+from lithoframe.llm.common import discard, staged, trimmed
 from lithoframe.llm.components import connected_components
 from lithoframe.llm.groups import Forest, bounds, runs, spread, tiled
 
@@ -28,6 +28,8 @@ from lithoframe.llm.groups import Forest, bounds, runs, spread, tiled
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 20, 6, 0.9999
 #: Members and shingles of a block at most, about; bytes of text that are shingled at once.
 BLOCK, BLOCK_SHINGLES, PIECE = 1024, 1 << 21, 4 << 20
+#: Shingles of all sets that are sorted and intersected at once, about.
+AT_ONCE = 1 << 19
 TILE = ["tree", "hi", "lo", "tile_i", "tile_j"]
 #: Bins of similarity from the threshold to 1 in which found links are counted.
 BINS = 40
@@ -179,7 +181,7 @@ def signatures(texts: DataFrame, trees: int, depth: int, words: int) -> DataFram
                     "fp1": pa.array(fp[0], mask=none), "fp2": pa.array(fp[1], mask=none), "labels": pa.array(labels, pa.list_(pa.int64())),
                 })
 
-    return texts.mapInArrow(turn, "doc_id long, th long, shingles long, fp1 long, fp2 long, labels array<long>")
+    return texts.mapInArrow(trimmed(turn), "doc_id long, th long, shingles long, fp1 long, fp2 long, labels array<long>")
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +259,7 @@ def _links_at(sets: DataFrame, texts: DataFrame, depth: int, longer: int | None,
                 fp = fingerprints(sets)
                 yield pa.record_batch({"fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    bodies = whole.select("text").mapInArrow(shingled, "fp1 long, fp2 long, set binary").dropDuplicates(["fp1", "fp2"])
+    bodies = whole.select("text").mapInArrow(trimmed(shingled), "fp1 long, fp2 long, set binary").dropDuplicates(["fp1", "fp2"])
     bodies = bodies.join(wanted.select("fp1", "fp2", "rep", "copies", "labels"), ["fp1", "fp2"])
     members = met.join(bodies, "rep")
 
@@ -327,7 +329,7 @@ def _tile(t: pa.Table, trees: int, threshold: float, depth: int, longer: int | N
     if not len(rows) or not len(cols):
         return None
     labels, tree = _label_rows(t, trees), t.column("tree")[0].as_py()
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("set")]
     size = np.asarray([len(s) for s in sets], dtype=np.int64)
     fresh = _unmet(labels[rows], labels[cols], tree, depth, longer)
     if (side == 2).any():
@@ -360,7 +362,20 @@ def _tile(t: pa.Table, trees: int, threshold: float, depth: int, longer: int | N
 
 
 def _intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of row sets with column sets, by products of 0/1 matrices."""
+    """Sizes of the intersections of row sets with column sets, summed over ranges of the hashes."""
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    parts = -(-sum(len(s) for s in sets) // AT_ONCE)
+    edges = np.asarray([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
+    for k in range(parts):
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        if any(map(len, some)):
+            _intersect(some, rows, cols, out)
+    return np.rint(out).astype(np.int64)
+
+
+def _intersect(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, out: np.ndarray) -> None:
+    """Add the sizes of the intersections to out, by products of 0/1 matrices."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     at = np.argsort(flat, kind="stable")
@@ -370,14 +385,12 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -
     often = np.bincount(column) > 1  # a shingle of one set is in no intersection
     own = often[column]
     column, owner = (np.cumsum(often) - 1)[column[own]], owner[own]
-    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
     width = int(often.sum())
     for a in range(0, width, 4096):
         lo, hi = np.searchsorted(column, [a, a + 4096])
         x = np.zeros((len(sets), min(4096, width - a)), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
         out += x[rows] @ x[cols].T
-    return np.rint(out).astype(np.int64)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
