@@ -20,14 +20,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+try:
+    from pandas._libs.groupby import group_shift_indexer
+except ImportError:  # not a public name; a sort does the same at five times the cost
+    group_shift_indexer = None
+
 #: Bits of the tables that predict by order 1 and order 2; ids must be below NONE.
 SLOTS_1, SLOTS_2, NONE = 9, 10, 0x7FFFFFFF
 #: Ids of a block at most.
 MOST = 4096
 _FIELD, _SUMS, _HALVES = np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x7FFF_7FFF_7FFF_7FFF)
 _S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
-#: Added to the count of an event, sum of a row's counts that is halved, steps between looks at it.
-_STEP, _FULL, _EVERY = 16, 700, 16
+#: Added to the count of an event, sum of a row's counts that is halved, steps between looks at it; blocks looked at together.
+_STEP, _FULL, _EVERY, _TOGETHER = 16, 700, 16, 64
+#: Added to the length of rows that are gone through side by side: at multiples of a page they would share the cache's lines.
+_PAD = 16
 _ADD = np.asarray([_STEP << (16 * e) for e in range(4)], dtype=np.uint64)
 _START = np.uint64(0x0004_0008_0001_0001)
 _WORD, _RAW = float(1 << 24), 65536.0
@@ -36,10 +43,10 @@ _WORD, _RAW = float(1 << 24), 65536.0
 class _Model:
     """What encoder and decoder share: the predictions and counts of every lane."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, guesses: bool = True) -> None:
         at = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2 = at << SLOTS_1, at << SLOTS_2
-        self.guess1, self.guess2 = (np.full(lanes << bits, NONE, dtype=np.uint32) for bits in (SLOTS_1, SLOTS_2))
+        self.guess1, self.guess2 = (np.full(lanes << bits if guesses else 0, NONE, dtype=np.uint32) for bits in (SLOTS_1, SLOTS_2))
         self.base_sure, self.base_past = at * 8, at * 16
         self.sure, self.past_counts = np.full(lanes * 8, _START), np.full(lanes * 16, _START)
         self.at1, self.at2, self.past = self.base1.copy(), self.base2.copy(), np.zeros(lanes, dtype=np.int64)
@@ -73,9 +80,25 @@ class _Model:
         self.before = now * 2246822519
         self.steps += 1
         if self.steps % _EVERY == 0:
-            for table in (self.sure, self.past_counts):
-                full = np.flatnonzero((table * _SUMS) >> _S48 > _FULL)
-                table[full] = ((table[full] >> np.uint64(1)) & _HALVES) | _SUMS
+            self.halve()
+
+    def count(self, rows: np.ndarray, rows_past: np.ndarray, event: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The four counts at each of some steps whose events are known; live: lanes that have the step."""
+        add, out = _ADD.take(event), np.full(rows.shape, _START)
+        for t, n in enumerate(live.tolist()):
+            row, row_past = rows[t, :n], rows_past[t, :n]
+            own, own_past = self.sure.take(row), self.past_counts.take(row_past)
+            np.add(own, own_past, out=out[t, :n])
+            self.sure[row] = own + add[t, :n]
+            self.past_counts[row_past] = own_past + add[t, :n]
+        if len(live) == _EVERY:
+            self.halve()
+        return out
+
+    def halve(self) -> None:
+        for table in (self.sure, self.past_counts):
+            full = np.flatnonzero((table * _SUMS) >> _S48 > _FULL)
+            table[full] = ((table[full] >> np.uint64(1)) & _HALVES) | _SUMS
 
 
 def _live(size: np.ndarray, most: int) -> np.ndarray:
@@ -83,6 +106,54 @@ def _live(size: np.ndarray, most: int) -> np.ndarray:
     return np.searchsorted(-size, -np.arange(most), side="left")
 
 
+def _last(slot: np.ndarray, slots: int) -> np.ndarray:
+    """The last step before each that had its slot; -1 if none had."""
+    if group_shift_indexer is not None:
+        last = np.empty(len(slot), dtype=np.int64)
+        group_shift_indexer(last, slot.astype(np.intp), slots, 1)
+        return last
+    order = np.argsort(slot, kind="stable")
+    same = slot[order[1:]] == slot[order[:-1]]
+    last = np.full(len(slot), -1, dtype=np.int64)
+    last[order[1:][same]] = order[:-1][same]
+    return last
+
+
+def _followed(slot: np.ndarray, slots: int, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a table that keeps the last id of each slot says at each step: (id, 1 where it holds, 1 where the slot's last did)."""
+    last = _last(slot, slots)
+    guess = np.append(now, np.uint32(NONE)).take(last, mode="wrap")
+    hit = np.zeros(len(now) + 1, dtype=np.uint8)
+    np.equal(guess, now, out=hit[:-1].view(bool))
+    return guess, hit[:-1], hit.take(last, mode="wrap")
+
+
+def _told(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a model tells of a block when all its ids are known: (row of sure + 8 * past + 128 * event + 512 * seen, number that is coded).
+
+    The number is an id's place in the block's list (event 2) or a new id (event 3).
+    """
+    h = now * np.uint32(2654435761)
+    slot1, slot2 = np.zeros((2, len(now)), dtype=np.uint32)
+    slot1[1:] = h[:-1] >> np.uint32(32 - SLOTS_1)
+    h[1:] += now[:-1] * np.uint32(2246822519)
+    slot2[1:] = h[:-1] >> np.uint32(32 - SLOTS_2)
+    (p1, is1, sure1), (p2, is2, sure2) = _followed(slot1, 1 << SLOTS_1, now), _followed(slot2, 1 << SLOTS_2, now)
+    number = pd.factorize(now)[0].astype(np.uint32)  # by first appearance: the place in the block's list
+    seen = np.zeros(len(now), dtype=np.uint32)
+    np.maximum.accumulate(number[:-1], out=seen[1:])
+    seen[1:] += np.uint32(1)
+    new = number == seen
+    event = ((new.view(np.uint8) | 2) * (is1 ^ 1) | is1) * (is2 ^ 1)
+    row = sure1 | sure2 << 1 | (p1 == p2).view(np.uint8) << 2 | event << 7
+    row[1:] |= event[:-1] << 3
+    row[2:] |= event[:-2] << 5
+    told = seen << np.uint32(9) | row
+    told += (event >> 1).astype(np.uint32) << np.uint32(8)
+    np.copyto(number, now, where=new)
+    return told, number
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Code words of each block of at most MOST ids below NONE, each block from a fresh model."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
@@ -90,18 +161,22 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, most = len(order), int(size.max(initial=0))
     if most > MOST:
         raise ValueError(f"blocks have at most {MOST} ids")
-    ids, rank = np.zeros((most, lanes), dtype=np.uint32), np.zeros((most, lanes), dtype=np.uint16)
+    told, number = np.zeros((2, most, lanes), dtype=np.uint32)
     wide = np.zeros(lanes, dtype=bool)
-    for lane, k in enumerate(order):
-        block = np.asarray(blocks[k], dtype=np.uint32)
-        ids[: size[lane], lane] = block
-        rank[: size[lane], lane] = pd.factorize(block)[0]  # by first appearance: the place in the block's list
-        wide[lane] = len(block) and int(block.max()) > 0xFFFF
-    if ids.max(initial=0) >= NONE:
-        raise ValueError(f"ids must be below {NONE}")
-    model, seen = _Model(lanes), np.zeros(lanes)
+    for a in range(0, lanes, _TOGETHER):
+        some = order[a : a + _TOGETHER]
+        rows = np.zeros((2, len(some), most + _PAD), dtype=np.uint32)
+        for lane, k in enumerate(some):
+            block = np.asarray(blocks[k], dtype=np.uint32)
+            top = int(block.max(initial=0))
+            if top >= NONE:
+                raise ValueError(f"ids must be below {NONE}")
+            wide[a + lane] = top > 0xFFFF
+            rows[0, lane, : len(block)], rows[1, lane, : len(block)] = _told(block)
+        told[:, a : a + len(some)], number[:, a : a + len(some)] = rows[0, :, :most].T, rows[1, :, :most].T
+    model = _Model(lanes, guesses=False)
     low, width = np.zeros(lanes), np.full(lanes, _WORD * _WORD)
-    cap = 1024
+    cap = 1024 + _PAD
     out, used = np.zeros((lanes, cap), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
     row = np.arange(lanes, dtype=np.int64)
 
@@ -114,37 +189,46 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 
     ends, live = [], _live(size, most)
     flat = out.reshape(-1)
-    for t in range(most):
-        n = int(live[t])
+    for t0 in range(0, most, _EVERY):  # the counts of some steps, then their code
+        n = int(live[t0])
         if n < len(low):
             ends.append((low[n:], used[n:]))
-            low, width, used, seen, row = low[:n], width[:n], used[:n], seen[:n], row[:n]
+            low, width, used, row = low[:n], width[:n], used[:n], row[:n]
             model.cut(n)
-        if int(used.max()) + 8 > cap:
-            out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            cap, flat = 2 * cap, out.reshape(-1)
-        now, place = ids[t, :n], rank[t, :n].astype(np.float64)
-        p1, p2, counts = model.predict()
-        hit1, hit2, new = p1 == now, p2 == now, place == seen
-        is1, is2 = hit1.view(np.uint8), hit2.view(np.uint8)
-        event = ((new.view(np.uint8) + 2) * (1 - is1) + is1) * (1 - is2)
+        if int(used.max()) + 3 * _EVERY > cap:
+            out = np.concatenate([out, np.zeros((lanes, 1024), dtype=np.uint32)], axis=1)
+            cap, flat = cap + 1024, out.reshape(-1)
+        steps = slice(t0, min(t0 + _EVERY, most))
+        these = told[steps, :n]
+        event = (these >> 7) & 3
+        counts = model.count((these & 7) + model.base_sure, ((these >> 3) & 15) + model.base_past, event, live[steps])
+        old = event == 2
         upto, shift = counts * _SUMS, event.astype(np.uint64) << np.uint64(4)
-        unit = np.floor(width / (upto >> _S48).astype(np.float64))
-        low = low + unit * (((upto << _S16) >> shift) & _FIELD).astype(np.float64)
-        width = unit * ((counts >> shift) & _FIELD).astype(np.float64)
-        old = (event == 2).astype(np.float64)
-        width = np.floor(width / ((seen - 1) * old + 1))
-        low = low + width * (place * old)
-        low, width, used = emit(low, width, used, row)
-        who = np.flatnonzero(event == 3)
-        if len(who):
-            for half in (16, 0):
-                some = who[wide[who]] if half else who
-                if len(some):
-                    unit = np.floor(width[some] / _RAW)
-                    low[some], width[some], used[some] = emit(low[some] + unit * ((now[some] >> half) & 0xFFFF), unit, used[some], row[some])
-            seen[who] += 1
-        model.learn(now, hit1, hit2, event)
+        total = (upto >> _S48).astype(np.float64)
+        below = (((upto << _S16) >> shift) & _FIELD).astype(np.float64)
+        share = ((counts >> shift) & _FIELD).astype(np.float64)
+        parts, place = np.where(old, these >> 9, 1).astype(np.float64), (number[steps, :n] * old).astype(np.float64)
+        new = event == 3
+        for t in range(len(these)):
+            n = int(live[t0 + t])
+            if n < len(low):
+                ends.append((low[n:], used[n:]))
+                low, width, used, row = low[:n], width[:n], used[:n], row[:n]
+                model.cut(n)
+            unit = np.floor(width / total[t, :n])
+            low = low + unit * below[t, :n]
+            width = np.floor(unit * share[t, :n] / parts[t, :n])
+            low += width * place[t, :n]
+            low, width, used = emit(low, width, used, row)
+            who = np.flatnonzero(new[t, :n])
+            if len(who):
+                now = number[t0 + t].take(who)
+                for half in (16, 0):
+                    pick = np.flatnonzero(wide[who]) if half else slice(None)
+                    some = who[pick]
+                    if len(some):
+                        unit = np.floor(width[some] / _RAW)
+                        low[some], width[some], used[some] = emit(low[some] + unit * ((now[pick] >> half) & 0xFFFF), unit, used[some], row[some])
     ends.append((low, used))
     low, used = (np.concatenate([e[k] for e in ends[::-1]]) for k in (0, 1))
     done: list[bytes] = [b""] * lanes
@@ -169,14 +253,16 @@ def decode(words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         raise ValueError("not a block")
     wide = np.asarray([words[k][:1] == b"\1" for k in order], dtype=bool)
     n_words = np.asarray([len(words[k]) // 3 for k in order], dtype=np.int64)
-    packed = np.frombuffer(b"".join(words[k][1:] for k in order) + bytes(9), dtype=np.uint8).reshape(-1, 3).astype(np.float64)
-    flat = packed[:, 0] + packed[:, 1] * 256 + packed[:, 2] * 65536
+    packed = np.frombuffer(b"".join(words[k][1:] for k in order) + bytes(9), dtype=np.uint8).reshape(-1, 3)
+    flat = np.zeros((len(packed), 4), dtype=np.uint8)
+    flat[:, :3] = packed
+    flat = flat.reshape(-1).view("<u4")
     at = np.cumsum(n_words) - n_words
     last = len(flat) - 1
     model, seen = _Model(lanes), np.zeros(lanes)
     code, width, at = flat[at] * _WORD + flat[at + 1], np.full(lanes, _WORD * _WORD), at + 2
-    ids, listed = np.zeros((most, lanes), dtype=np.uint32), np.zeros(lanes * MOST, dtype=np.uint32)
-    base = np.arange(lanes, dtype=np.int64) * MOST
+    ids, listed = np.zeros((most, lanes), dtype=np.uint32), np.zeros(lanes * (MOST + _PAD), dtype=np.uint32)
+    base = np.arange(lanes, dtype=np.int64) * (MOST + _PAD)
 
     def refill(code: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         small = (width < _WORD).astype(np.float64)
@@ -223,6 +309,9 @@ def decode(words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         ids[t, :n] = now
         model.learn(now, p1 == now, p2 == now, event)
     done: list[np.ndarray] = [ids[:0, 0]] * lanes
-    for lane, k in enumerate(order):
-        done[k] = ids[: size[lane], lane].copy()
+    for a in range(0, lanes, _TOGETHER):
+        rows = np.zeros((min(_TOGETHER, lanes - a), most + _PAD), dtype=np.uint32)
+        rows[:, :most] = ids[:, a : a + _TOGETHER].T
+        for lane, k in enumerate(order[a : a + _TOGETHER]):
+            done[k] = rows[lane, : size[a + lane]]
     return done

@@ -32,9 +32,9 @@ from lithoframe.llm.common import shared_folder, staged
 from lithoframe.llm.groups import bounds, runs
 from lithoframe.llm.range_coder import decode, encode
 
-#: Ids of a block, blocks coded in step, characters of a shard about, words whose ids a worker remembers,
-#: characters of the texts that are looked up at once.
-BLOCK, LANES, SHARD_CHARS, REMEMBERED, PIECE = 4096, 2048, 64 << 20, 700_000, 1 << 19
+#: Ids of a block, blocks coded in step, characters of a shard about, pieces whose ids a worker remembers,
+#: bytes of the texts that are looked up at once.
+BLOCK, LANES, SHARD_CHARS, REMEMBERED, PIECE = 4096, 2048, 64 << 20, 700_000, 1 << 21
 END = 2
 HEAD = struct.Struct("<4sIII")
 SCHEMA = "shard int, kind int, seq int, record binary"
@@ -44,99 +44,178 @@ SCHEMA = "shard int, kind int, seq int, record binary"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-#: Letters that neither composition nor lower case can change the number of, then ASCII marks (no apostrophe, none of special tokens).
-LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([!-&(-/:;=?@\\[-`{}~]*)")
+#: What is one piece or some letters of one: letters of which neither composition nor lower case can change the number, or ASCII marks.
+SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+|[!-&(-/:;=-@\\[-`{-~]+")
+#: Kinds of bytes, and of a key's first byte: white space, letters, marks, digits, and what only the library may take apart.
+_WHITE, _LETTER, _MARK, _DIGIT, _ODD = range(5)
+#: Letters of two bytes have these first bytes; neither composition nor lower case can change the number of letters, but for the second row.
+_LEADS, _NO_LETTERS = (0xC3, 0xC4, 0xC5), (0xC397, 0xC3B7, 0xC4B0, 0xC4B1, 0xC589, 0xC5BF)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte of UTF-8. The apostrophe is odd (contractions), and so is <, which starts special tokens."""
+    kind = np.full(256, _ODD, dtype=np.uint8)
+    kind[[32, *range(9, 14)]] = _WHITE
+    for c in range(33, 127):
+        kind[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK
+    kind[[ord("'"), ord("<")]] = _ODD
+    kind[[*_LEADS, *range(0x80, 0xC0)]] = _LETTER
+    return kind
+
+
+_KIND = _kinds()
+
+
+def _between(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of all ranges, one after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - size), size)
+
+
+def _keys(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The keys of texts that begin in the UTF-8 data at at[:-1], and where each key starts.
+
+    A key is a run of letters, a run of marks or a digit; a word between white space that holds an odd byte is one key.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= _LEADS[0]) & (data <= _LEADS[-1]))
+    lead = lead[lead + 1 < len(data)]
+    kind[lead[np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _NO_LETTERS)]] = _ODD
+    cut = np.empty(len(data), dtype=bool)
+    cut[:1] = True
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        white = kind == _WHITE
+        np.not_equal(white[1:], white[:-1], out=cut[1:])
+        cut[at[:-1][at[:-1] < len(data)]] = True
+        words = np.append(np.flatnonzero(cut), len(data))
+        w = np.unique(np.searchsorted(words, odd, side="right") - 1)
+        kind[_between(words[w], words[w + 1] - words[w])] = _ODD
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+    cut |= kind == _DIGIT
+    cut[at[:-1][at[:-1] < len(data)]] = True
+    first = np.flatnonzero(cut)
+    size = np.diff(first, append=len(data))
+    keep = kind[first] != _WHITE
+    first, size = first[keep], size[keep]
+    ends = np.append(0, np.cumsum(size))
+    black = data[kind != _WHITE]
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(black)]), first
 
 
 class _Numbers(dict):
-    """Word -> its number; unknown words are learnt when asked for."""
+    """Key -> its number; an unknown key gets the next one and is listed, as new keys are learnt together."""
 
-    def __init__(self, learn: Callable[[str], int]) -> None:
-        self.learn = learn
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
-        return self.learn(word)
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 class WordEncoder:
     """Ids of whole texts by a library tokenizer.
 
-    If its file names the split above, words between ASCII white space are encoded once and remembered,
-    and the ids of a text are those of its words in order. A word of letters is one piece to the library's
-    model. Any other tokenizer gets whole texts.
+    If its file names the split above, texts are cut into keys, the library encodes each distinct key once, and the
+    ids of a text are those of its keys in order. Runs of letters or marks and digits are pieces to the library's model;
+    words that hold anything else go through the whole library. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.library, self.remembered = Tokenizer.from_file(path), remembered
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.by_words = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not told["post_processor"]
-        self.model, self.bytes = self.library.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        special = all(re.search("['<]", t["content"]) and not re.search(r"\s", t["content"]) for t in told["added_tokens"])
+        self.by_words = special and told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not told["post_processor"]
+        self.pieces = Tokenizer(self.library.model)  # takes pieces in the library's letters for bytes, with spaces between
+        self.pieces.pre_tokenizer = WhitespaceSplit()
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        pairs = [(lead, c) for lead in _LEADS for c in range(0x80, 0xC0)]
+        self.letters = {byte: letter for pair in pairs for byte, letter in zip(pair, letters.pre_tokenize_str(bytes(pair).decode())[0][0], strict=True)}
+        suffix, vocab = told["model"].get("end_of_word_suffix"), self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.last[[n for token, n in vocab.items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.number, self.ids, self.start = _Numbers(self._learn), array("I"), array("q", [0])
-        self._keep("", [])
-
-    def _keep(self, word: str, ids: list[int]) -> int:
-        self.ids.extend(ids)
-        self.start.append(len(self.ids))
-        self.number[word] = n = len(self.start) - 2
-        return n
-
-    def _learn(self, word: str) -> int:
-        m = LETTERS.fullmatch(word)
-        if not m:
-            return self._keep(word, self.library.encode(word, add_special_tokens=False).ids)
-        run, marks = m[1].lower(), m[2]
-        if run == word:
-            piece = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-            return self._keep(word, [t.id for t in self.model.tokenize(piece)])
-        ids = []
-        for part in (run, marks):
-            n = self.number[part]
-            ids += self.ids[self.start[n] : self.start[n + 1]]
-        return self._keep(word, ids)
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self.number, self.ids, self.first, self.size = _Numbers(), array("I"), array("q"), array("q")
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has) by the library's model."""
+        told = b" ".join(pieces).decode("latin-1").translate(self.letters)
+        ids = np.asarray(self.pieces.encode_batch_fast([told], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1  # the last id of a piece ends a word, and no other does
+        if len(ends) == len(pieces) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        each = [[t.id for t in self.library.model.tokenize(p)] for p in told.split(" ")]
+        return np.asarray([n for e in each for n in e], dtype=np.uint32), np.asarray([len(e) for e in each], dtype=np.int64)
+
+    def _learn(self) -> None:
+        """The ids of the new keys, whose numbers follow those of the others."""
+        plain, odd, cased = [], [], []
+        for k, key in enumerate(self.number.new):  # grows by the lower-case forms that are asked for
+            text = key.decode()
+            if not (text.isascii() and text.isalnum() or SIMPLE.fullmatch(text)):
+                odd.append(k)
+            elif (lower := text.lower()) == text:
+                plain.append(k)
+            else:
+                cased.append((k, self.number[lower.encode()]))
+        keys, self.number.new = self.number.new, []
+        known, size, at = len(self.first), np.zeros(len(keys), dtype=np.int64), len(self.ids)
+        if plain:
+            ids, size[plain] = self._encode([keys[k] for k in plain])
+            self.ids.frombytes(ids.tobytes())
+        for k in odd:
+            ids = self.library.encode(keys[k].decode(), add_special_tokens=False).ids
+            self.ids.extend(ids)
+            size[k] = len(ids)
+        order = np.asarray(plain + odd, dtype=np.int64)
+        first = np.zeros(len(keys), dtype=np.int64)
+        first[order] = at + np.cumsum(size[order]) - size[order]
+        self.first.frombytes(first.tobytes())
+        self.size.frombytes(size.tobytes())
+        for k, lower in cased:
+            self.first[known + k], self.size[known + k] = self.first[lower], self.size[lower]
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text with END."""
+        if not self.by_words:
+            for text in texts.to_pylist() if isinstance(texts, pa.Array) else texts:
+                yield np.asarray([*self.library.encode(text or "", add_special_tokens=False).ids, END], dtype=np.uint32)
+            return
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(data or b"", dtype=np.uint8)
         a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and size < PIECE:
-                size += len(texts[b] or "")
-                b += 1
-            yield from self._some([t or "" for t in texts[a:b]])
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(at, at[a] + PIECE, side="right")) - 1)
+            yield from self._some(data[at[a] : at[b]], at[a : b + 1] - at[a])
             a = b
 
-    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if not self.by_words:
-            for e in self.library.encode_batch(texts, add_special_tokens=False):
-                yield np.asarray([*e.ids, END], dtype=np.uint32)
-            return
+    def _some(self, data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         if len(self.number) > self.remembered:
             self._forget()
-        words, count = [], []
-        for text in texts:
-            for space in "\t\n\r\v\f":
-                if space in text:
-                    text = text.replace(space, " ")
-            mine = text.split(" ")
-            words += mine
-            count.append(len(mine))
-        k = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        start, ids = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.ids or array("I", [0]), dtype=np.uint32)
-        first = start[k]
-        size = start[k + 1] - first
-        upto = np.cumsum(size)
-        flat = ids[np.arange(upto[-1]) + np.repeat(first - (upto - size), size)]
-        ends = upto[np.cumsum(count) - 1]
-        del start, ids  # the arrays can't grow while they are looked at
-        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+        keys, first = _keys(data, at)
+        coded = keys.dictionary_encode()
+        mine = coded.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.number.__getitem__, mine), dtype=np.int64, count=len(mine))
+        if self.number.new:
+            self._learn()
+        at_ids, sizes, ids = (np.frombuffer(x or array(x.typecode, [0]), dtype=t) for x, t in ((self.first, np.int64), (self.size, np.int64), (self.ids, np.uint32)))
+        which = coded.indices.to_numpy()
+        size = sizes[number][which]
+        flat = ids[_between(at_ids[number][which], size)]
+        ends = np.append(0, np.cumsum(size))[np.searchsorted(first, at)]
+        del at_ids, sizes, ids  # the arrays can't grow while they are looked at
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             yield np.append(flat[lo:hi], np.uint32(END))
 
 
@@ -200,7 +279,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
 
         for n, b in enumerate(batches):
             sizes = []
-            for ids in words(b.column("text").to_pylist()):
+            for ids in words(b.column("text")):
                 held.append(ids)
                 sizes.append(len(ids))
                 waiting += len(ids)

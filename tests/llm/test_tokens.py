@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lithoframe.llm import token_binary
+from lithoframe.llm import range_coder, token_binary
 from lithoframe.llm.range_coder import decode, encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -98,3 +99,40 @@ def test_damage_is_found():
     assert token_binary.opened(data, b"LFB1")[2] == b"wxyz"
     with pytest.raises(ValueError):
         token_binary.opened(data[:-1] + b"!", b"LFB1")
+
+
+class Counted:
+    """A tokenizer that counts its calls and the texts that it gets."""
+
+    def __init__(self, inner):
+        self.inner, self.calls, self.words = inner, 0, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += 1
+        self.words += " ".join(texts).split(" ")
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_pieces_are_learnt_once_and_together(library):
+    rng = random.Random(5)
+    runs = ["".join(rng.choice("abcdé") for _ in range(8)) for _ in range(500)]
+    texts = [" ".join(rng.choice([w, w.upper(), w.title()]) + rng.choice(["", ".", ",", "!?"]) for w in runs) + " 2024" for _ in range(4)]
+    coder = token_binary.WordEncoder(PATH)
+    coder.pieces = told = Counted(coder.pieces)
+    assert [g.tolist() for g in coder(texts)] == [ids_of(library, t) for t in texts]
+    assert told.calls == 1 and len(told.words) == len(set(told.words)) == len(set(runs)) + 3 + 3  # marks, digits
+
+
+def test_columns_and_their_slices(library):
+    texts = TEXTS + ["a|b a> c'est l'été", "×÷ ŉ ſ Ÿ ĿĀ", "12 3½ x²"]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(3), pa.array(texts).slice(2, 5), pa.array(texts)[:0], pa.array([None, None], pa.string())):
+        assert [g.tolist() for g in token_binary.WordEncoder(PATH)(column)] == [ids_of(library, t) for t in column.to_pylist()]
+
+
+def test_code_words_stay(monkeypatch):
+    rng = np.random.default_rng(3)
+    blocks = [rng.zipf(1.5, n).clip(0, 49_000) for n in (4096, 1777, 1, 0, 2)] + [rng.integers(0, 0x7FFFFFFF, 300), np.tile(np.arange(9), 99)]
+    words = encode(blocks)
+    assert zlib.crc32(b"|".join(words)) == 700285878
+    monkeypatch.setattr(range_coder, "group_shift_indexer", None)
+    assert encode(blocks) == words
