@@ -34,7 +34,7 @@ from lithoframe.llm.range_coder import decode, encode
 
 #: Ids of a block, blocks coded in step, characters of a shard about, pieces whose ids a worker remembers,
 #: bytes of the texts that are looked up at once.
-BLOCK, LANES, SHARD_CHARS, REMEMBERED, PIECE = 4096, 2048, 64 << 20, 700_000, 1 << 21
+BLOCK, LANES, SHARD_CHARS, REMEMBERED, PIECE = 4096, 4096, 64 << 20, 700_000, 1 << 21
 END = 2
 HEAD = struct.Struct("<4sIII")
 SCHEMA = "shard int, kind int, seq int, record binary"
